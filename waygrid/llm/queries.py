@@ -6,9 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waygrid.llm import oracles
 from waygrid.llm.common import read_table, tokenizer_path
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.sharding import shard_digest
+
+    return shard_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.line_dedup import dedup_digest
+
+    return dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygrid.llm.token_counts import count_tokens
 
@@ -29,9 +42,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.source_mix import mix_documents
+
+    return mix_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op7_byte_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_token_counts, op7_byte_bpe, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": oracles.OP2, "op10_source_mix": oracles.OP10}
