@@ -36,6 +36,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.token_files import token_file_digest
+
+    return token_file_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygrid.llm.quality_rules import quality_digest
 
@@ -49,7 +55,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_token_counts, op7_byte_bpe, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_token_counts, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
