@@ -22,6 +22,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.near_dedup import near_digest
+
+    return near_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygrid.llm.token_counts import count_tokens
 
@@ -55,7 +61,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op5_token_counts, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bag_minhash, op5_token_counts, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
