@@ -34,6 +34,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waygrid.llm.passage_dedup import dedup_passages
+
+    return dedup_passages(read_table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -61,7 +67,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bag_minhash, op5_token_counts, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bag_minhash, op5_token_counts, op6_passage_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
