@@ -28,6 +28,14 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from waygrid.llm.vector_search import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waygrid.llm.token_counts import count_tokens
 
@@ -67,7 +75,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bag_minhash, op5_token_counts, op6_passage_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sharding, op2_line_dedup, op3_bag_minhash, op4_vector_search, op5_token_counts, op6_passage_dedup, op7_byte_bpe, op8_token_files, op9_quality_rules, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
