@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from waygrid.plans import match_queries, track_queries
+
+MODULES = (track_queries, match_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
