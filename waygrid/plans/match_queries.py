@@ -105,7 +105,8 @@ def cross_correlation(s, d):
 
 def resampled(s, d):
     m = adapters.motion(s, d)
-    return out(similarity.resampled(m, "video_id", "motion_magnitude", 64), "video_id", "i", motion_magnitude=F.round("motion_magnitude", 4))
+    # halves of the last of six digits do occur here: nine digits hold these values exactly
+    return similarity.resampled(m, "video_id", "motion_magnitude", 64).select("video_id", "i", (F.round("motion_magnitude", 9) + 0.0).alias("motion_magnitude"))
 
 
 def overlap_match(s, d):
@@ -168,7 +169,7 @@ def as_of_join(s, d):
 def interpolation(s, d):
     m = adapters.motion(s, d)
     grid = m.groupBy("video_id").agg(F.max("t").alias("n")).select("video_id", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("i"), "n").select("video_id", (F.col("i") * F.col("n") / 49).alias("t"))
-    return out(joins.interpolated(m, grid, "video_id", "t", "motion_magnitude"), "video_id", t=F.round("t", 3), motion_magnitude=F.round("motion_magnitude", 4))
+    return out(joins.interpolated(m, grid, "video_id", "t", "motion_magnitude"), "video_id", t=F.round("t", 3), motion_magnitude=F.round("motion_magnitude", 6))
 
 
 def filled_seconds(s, d):
@@ -243,7 +244,7 @@ SQL = {
     "lag_search": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, lag, {_r('a.elevation', 'b.speed_mph')} AS r FROM f a, range(-10, 11) AS z(lag), f b WHERE b.track_id = a.track_id AND b.pt_idx = a.pt_idx + lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, abs(lag), lag) AS n FROM r) SELECT track_id, {q.rounded(score='r')}, lag FROM k WHERE n = 1""",
     "cross_correlation": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, lag, sum(CAST(a.elevation AS DECIMAL(20,2)) * CAST(round(b.speed_mph, 2) AS DECIMAL(18,2))) AS s FROM f a, range(-20, 21) AS z(lag), f b WHERE b.track_id = a.track_id AND b.pt_idx = a.pt_idx - lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY s DESC, lag) AS n FROM r) SELECT track_id, CAST(s AS DOUBLE) AS peak, lag AS "offset" FROM k WHERE n = 1""",
     "resampled": f"""WITH {q.MOTION}, n AS (SELECT video_id, count(*) AS n FROM mo GROUP BY 1), g AS (SELECT video_id, n, i, least(greatest((i + 0.5::DOUBLE) * n / 64 - 0.5, 0.0), CAST(n - 1 AS DOUBLE)) AS at_p FROM n, range(64) AS z(i)), h AS (SELECT *, CAST(floor(at_p) AS BIGINT) AS lo FROM g)
-      SELECT h.video_id, h.i, {q.r('a.motion_magnitude + (b.motion_magnitude - a.motion_magnitude) * (at_p - lo)', 4)} AS motion_magnitude FROM h JOIN mo a ON a.video_id = h.video_id AND a.idx = lo JOIN mo b ON b.video_id = h.video_id AND b.idx = least(lo + 1, n - 1)""",
+      SELECT h.video_id, h.i, {q.r('a.motion_magnitude + (b.motion_magnitude - a.motion_magnitude) * (at_p - lo)', 9)} AS motion_magnitude FROM h JOIN mo a ON a.video_id = h.video_id AND a.idx = lo JOIN mo b ON b.video_id = h.video_id AND b.idx = least(lo + 1, n - 1)""",
     "overlap_match": f"WITH {ROWS}, c AS (SELECT video_id, track_id, count(*) AS overlap, {q.r(_r('motion_magnitude', 'speed_mph'))} AS score FROM rws GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY overlap DESC, score DESC) AS n FROM c WHERE overlap > 10) SELECT video_id, overlap, score FROM k WHERE n = 1",
     "vector_cosine_top5": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, {q.r('list_cosine_similarity(a.v, b.v)')} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) SELECT * FROM k WHERE rank <= 5",
     "frame_positions": f"WITH {GPS.format('max')} SELECT video_id, det_idx, second, {q.cols('lat', 'lon')} FROM fr LEFT JOIN gp USING (video_id, second)",
