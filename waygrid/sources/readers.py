@@ -12,11 +12,16 @@ from waygrid.sources.schemas import ALIGNED, AUDIO_WINDOW, MATCH_MAP, MERGED, ST
 GPX = "trkseg array<struct<trkpt:array<struct<_lat:double,_lon:double,ele:double,time:string>>>>"
 
 
+def plain_path(path: Column) -> Column:
+    """One spelling of a local path, which Spark's sources give as file:/x, file:///x, with %20."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "%20", " ")
+
+
 def gpx_points(spark: SparkSession, path) -> DataFrame:
     """Track points of GPX files in document order. One row of the scan is one <trk>; broken
     files give no points (see gpx_rejects)."""
     raw = spark.read.format("xml").option("rowTag", "trk").option("mode", "PERMISSIVE").schema(GPX).load(path)
-    seg = raw.select(F.input_file_name().alias("track_id"), F.monotonically_increasing_id().alias("trk"), F.posexplode("trkseg").alias("segment_idx", "seg"))
+    seg = raw.select(plain_path(F.input_file_name()).alias("track_id"), F.monotonically_increasing_id().alias("trk"), F.posexplode("trkseg").alias("segment_idx", "seg"))
     pt = seg.select("track_id", "trk", "segment_idx", F.posexplode("seg.trkpt").alias("k", "p"))
     order = W.partitionBy("track_id").orderBy("trk", "segment_idx", "k")
     return pt.select("track_id", "segment_idx", (F.row_number().over(order) - 1).alias("pt_idx"), F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("elevation"), F.try_to_timestamp(F.col("p.time")).alias("ts"))
@@ -106,7 +111,7 @@ def match_documents(spark: SparkSession, path) -> DataFrame:
 def listing(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
     """path, modified, length of files below a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("modificationTime").alias("modified"), "length").distinct()
+    return files.select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("modified"), "length").distinct()
 
 
 def by_age(files: DataFrame, priority: Column | None = None) -> DataFrame:
