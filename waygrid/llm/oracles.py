@@ -55,3 +55,31 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+#: Phrases of the boilerplate rule, as in quality_rules.
+_PHRASES = (
+    "all rights reserved|cookie policy|cookie settings|accept cookies|accept all cookies|privacy policy|terms of use|terms of service|enable javascript|javascript is disabled|"
+    "javascript is required|subscribe to our|sign up for our|skip to content|skip to main content|lorem ipsum|click here|read more|share this page|share on facebook|share on twitter"
+)
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SYMBOLS = "len(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
+OP9 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+l0 AS (SELECT rid, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM d),
+l1 AS (SELECT *, {_WORDS.format('line')} AS w FROM l0),
+l2 AS (SELECT *, len(w) AS k, len(list_aggregate(w, 'string_agg', '')) AS chars, len(line) - len(replace(line, '|', '')) AS bars, {_SYMBOLS.format('line')} AS sym, row_number() OVER (PARTITION BY rid, line ORDER BY n) AS nth FROM l1 WHERE len(w) > 0),
+l AS (SELECT *, nth > 1 OR (bars >= 2 AND k <= bars * 4) OR sym * 4 >= k OR (k >= 5 AND line = upper(line) AND line <> lower(line)) OR (k >= 8 AND len(list_distinct(w)) * 3 <= k)
+        OR (k >= 12 AND NOT regexp_matches(line, '[.!?…。！？]')) OR regexp_matches(lower(line), '{_PHRASES}') AS fails FROM l2),
+s AS (SELECT rid, sum(chars) AS word_chars, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost, count(*) FILTER (fails) AS n_lost_lines FROM l GROUP BY rid),
+w AS (SELECT rid, {_WORDS.format('text')} AS w FROM d),
+g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, range(1, len(w) - 1) AS z(i)),
+h AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS times FROM g) WHERE times > 1),
+p AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM h, range(3) AS z(j) GROUP BY rid),
+f AS (
+  SELECT d.doc_id, len(w.w) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, {_SYMBOLS.format('d.text')} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(lost, 0)::BIGINT AS lost, coalesce(n_lost_lines, 0) AS n_lost_lines
+  FROM d JOIN w USING (rid) LEFT JOIN s USING (rid) LEFT JOIN p USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept, n_lost_lines
+FROM f
+"""

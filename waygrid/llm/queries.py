@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": oracles.OP2, "op10_source_mix": oracles.OP10}
+    return {"op2_line_dedup": oracles.OP2, "op9_quality_rules": oracles.OP9, "op10_source_mix": oracles.OP10}
