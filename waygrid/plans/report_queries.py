@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.functions import geo, scalar
-from waygrid.operators import aggregates, mapdata, ranking, sequence, track
+from waygrid.operators import aggregates, mapdata, ranking, sequence
 from waygrid.plans import sql as q
 from waygrid.plans.match_queries import LEVELS, QUALITY
 from waygrid.plans.track_queries import features, out
