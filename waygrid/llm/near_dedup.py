@@ -14,10 +14,15 @@ need be.
 
 Candidates: bands of `ROWS` components; with 32 bands of 4, a pair at 0.8 shares no band
 with a chance under 1e-7. Copies are one node (a hash of the text). In a bucket, one node
-leads and the others are compared with it; a bucket whose nodes beyond the leader aren't
-in one class yet gets its next leader, until none is left. So no pair of a bucket
-that could join two classes goes unseen, while the near copies of one document cost one
-comparison each. Classes are connected components by label passing with shortcuts.
+leads and all others are compared with it, so near copies of one document cost one
+comparison each. What remains are buckets with several classes: there, the nodes
+outside the largest class meet all nodes of other classes in blocks, by a wide signature
+only. A pair is compared exactly unless these agree in under similarity - 0.07 of their
+components (at 0.8, a pair that counts does so with a chance of 1e-8), or its
+distances from the leader differ by more than 1 - similarity, which the triangle
+inequality rules out. First each node's best few pairs are tried, which joins most nodes to
+a class; then all pairs that are left. Nothing is capped. Classes are connected components
+by label passing with shortcuts.
 
 Words are runs of anything but ASCII white space. A text of 1 to 4 words has one shingle,
 all its words. Null and empty texts and those without words have no shingles; equal ones
@@ -40,6 +45,9 @@ from waygrid.llm.common import by_bytes, saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, COMPONENTS, ROWS = 5, 128, 4
+#: Components of the wide signature, of which a byte each is kept, and how far its estimate may
+#: fall below a similarity: 5.6 standard deviations at 0.8.
+WIDE, SLACK = 1024, 0.07
 LEAST = -(1 << 63)
 U = np.uint64
 
@@ -119,12 +127,9 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     return first.reshape(n_docs, m)
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    x = sig.view(U).reshape(len(sig), -1, ROWS)
-    out = np.broadcast_to(np.arange(x.shape[1], dtype=U) + U(1), x.shape[:2]).copy()
-    for j in range(ROWS):
-        out = mix(out + x[:, :, j])
-    return out.view(np.int64)
+def short_signatures(sig: np.ndarray) -> np.ndarray:
+    """32 bits of each component, which is what travels."""
+    return (mix(sig.view(U)) >> U(32)).astype("<u4")
 
 
 def _node() -> F.Column:
@@ -132,40 +137,44 @@ def _node() -> F.Column:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """node (hash of the text), doc (least id of its copies), bands. Null bands: no words."""
+    """node (hash of the text), doc (least id of its copies), sig (null if there are no words)."""
 
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             rows: list = []
             for part in by_bytes(texts, [len(t) for t in texts], 1 << 21):
-                doc, s, c = bags(part)
-                sig = signatures(doc, s, c, len(part))
-                bands = band_hashes(sig)
-                rows += [None if np.isinf(x[0]) else h.tolist() for x, h in zip(sig, bands)]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc"), pa.array(rows, pa.list_(pa.int64()))], ["node", "doc", "bands"])
+                sig = signatures(*bags(part), len(part))
+                rows += [None if np.isinf(x[0]) else h.tobytes() for x, h in zip(sig, short_signatures(sig))]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc"), pa.array(rows, pa.binary())], ["node", "doc", "sig"])
 
     slim = docs.select(_node().alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "text")
-    found = slim.mapInArrow(run, "node binary, doc long, bands array<long>")
-    return found.groupBy("node").agg(F.min(F.struct("doc", "bands")).alias("x")).select("node", "x.doc", "x.bands")
+    found = slim.mapInArrow(run, "node binary, doc long, sig binary")
+    return found.groupBy("node").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig"))  # copies have one signature
 
 
 def _bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles, counts of the wanted nodes (node, doc)."""
+    """node, shingles, counts of the wanted nodes (node, doc), a tag for each band, and a wide signature."""
 
     def run(batches):
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            keys, out = b.column("node").to_pylist(), {"node": [], "shingles": [], "counts": []}
-            for i, t in enumerate(texts):
-                _, s, c = bags([t])
-                out["node"].append(keys[i])
-                out["shingles"].append(s.tobytes())
-                out["counts"].append(c.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary()) for k, v in out.items()})
+            out = {k: [] for k in ("shingles", "counts", "tags", "wide")}
+            for part in by_bytes(texts, [len(t) for t in texts], 1 << 19):
+                doc, sh, c = bags(part)
+                cuts = np.searchsorted(doc, np.arange(len(part) + 1))
+                tags = short_signatures(signatures(doc, sh, c, len(part))).reshape(len(part), -1, ROWS)
+                tags = mix(mix(tags[:, :, ::2].astype(U) << U(32) | tags[:, :, 1::2]).sum(axis=2)).astype("<u4")
+                wide = short_signatures(signatures(doc, mix(sh + U(1)), c, len(part), WIDE)).astype("<u1")
+                out["tags"] += [x.tobytes() for x in tags]
+                out["wide"] += [x.tobytes() for x in wide]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    out["shingles"].append(sh[lo:hi].tobytes())
+                    out["counts"].append(c[lo:hi].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), *[pa.array(v, pa.binary()) for v in out.values()]], ["node", *out])
 
     slim = docs.select(_node().alias("node"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc"), "text")
-    return slim.join(wanted, ["node", "doc"], "left_semi").dropDuplicates(["node", "doc"]).mapInArrow(run, "node binary, shingles binary, counts binary")
+    return slim.join(wanted, ["node", "doc"], "left_semi").dropDuplicates(["node", "doc"]).mapInArrow(run, "node binary, shingles binary, counts binary, tags binary, wide binary")
 
 
 def overlap(s1: np.ndarray, c1: np.ndarray, s2: np.ndarray, c2: np.ndarray) -> float:
@@ -175,20 +184,72 @@ def overlap(s1: np.ndarray, c1: np.ndarray, s2: np.ndarray, c2: np.ndarray) -> f
     return small / max(1, int(c1.sum()) + int(c2.sum()) - small)
 
 
-def _links(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags are similar. The leader's bag is joined while rows are
-    narrow, so what is shuffled wide is keyed by the other, which recurs once a leader."""
+def _compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """a, b, sim of the pairs. The leader's bag is joined while rows are narrow, so what is
+    shuffled wide is keyed by the other, which recurs once a leader."""
 
     def run(batches):
         for b in batches:
             u8 = lambda c: [np.frombuffer(x, U) for x in b.column(c).to_pylist()]
             u4 = lambda c: [np.frombuffer(x, "<u4").astype(np.int64) for x in b.column(c).to_pylist()]
-            keep = [overlap(*x) >= similarity for x in zip(u8("s1"), u4("c1"), u8("s2"), u4("c2"))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sim = [overlap(*x) for x in zip(u8("s1"), u4("c1"), u8("s2"), u4("c2"))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sim, pa.float64())], ["a", "b", "sim"])
 
     one = bag.select(F.col("node").alias("a"), F.col("shingles").alias("s1"), F.col("counts").alias("c1"))
     two = bag.select(F.col("node").alias("b"), F.col("shingles").alias("s2"), F.col("counts").alias("c2"))
-    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a binary, b binary, sim double")
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several classes, with the bucket's largest class and the number of
+    nodes in it and outside."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = named.groupBy("band", "hash", "label").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("band", "hash").agg(F.max(F.struct("size", "label")).alias("most"), F.count("*").alias("classes"), F.sum("size").alias("n")).where("classes > 1")
+    return named.join(mixed.select("band", "hash", F.col("most.label").alias("largest"), "n", (F.col("n") - F.col("most.size")).alias("n_out")), ["band", "hash"])
+
+
+def _candidates(opened: DataFrame, sims: DataFrame, bag: DataFrame, similarity: float, best: int | None, block: int = 1024) -> DataFrame:
+    """a, b (a < b) of different classes in an open bucket that may be similar. A pair that shares
+    several bands is given in the first; `best` limits the pairs that one node brings from
+    a block, in a round that another without limit follows."""
+    near = sims.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("away"))
+    rows = opened.join(near, ["leader", "node"], "left").withColumn("away", F.coalesce("away", F.lit(0.0)))
+    rows = rows.join(bag.select("node", "tags", "wide"), "node")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("long")
+    mine = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    out = F.col("label") != F.col("largest")
+    keys = ["band", "hash", "i", "j"]
+    rest = ["node", "label", "away", "tags", "wide", out.alias("out")]
+    x = rows.where(out).select("band", "hash", mine("n_out").alias("i"), upto("n").alias("j"), F.lit(True).alias("asks"), *rest)
+    y = rows.select("band", "hash", upto("n_out").alias("i"), mine("n").alias("j"), F.lit(False).alias("asks"), *rest)
+
+    def meet(key, table):
+        band = key[0].as_py()
+        asks = np.array(table["asks"])
+        node, label = np.array(table["node"].to_pylist(), object), np.array(table["label"].to_pylist(), object)
+        away, outside = np.array(table["away"]), np.array(table["out"])
+        tags = np.frombuffer(b"".join(table["tags"].to_pylist()), "<u4").reshape(len(node), -1)
+        wide = np.frombuffer(b"".join(table["wide"].to_pylist()), "<u1").reshape(len(node), -1)
+        ys = np.flatnonzero(~asks)
+        low, high = [], []
+        for i in np.flatnonzero(asks):
+            ok = ys[(label[ys] != label[i]) & (np.abs(away[ys] - away[i]) <= 1 - similarity + 1e-9)]
+            ok = ok[~outside[ok] | (node[ok] > node[i])]
+            if not len(ok):
+                continue
+            share = (wide[ok] == wide[i]).mean(axis=1)
+            first = (tags[ok] == tags[i]).argmax(axis=1)
+            pick = np.flatnonzero((share >= similarity - SLACK) & (first == band))
+            if best is not None and len(pick) > best:
+                pick = pick[np.argsort(-share[pick], kind="stable")[:best]]
+            for j in ok[pick]:
+                low.append(min(node[i], node[j]))
+                high.append(max(node[i], node[j]))
+        return pa.Table.from_pydict({"a": pa.array(low, pa.binary()), "b": pa.array(high, pa.binary())})
+
+    return x.unionByName(y).groupBy(*keys).applyInArrow(meet, "a binary, b binary").join(sims.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,29 +269,24 @@ def components(links: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """node, label of all nodes that have a near copy with another text."""
     found = saved(nodes(docs), "near-nodes")
-    rows = found.where("bands is not null").select("node", "doc", F.posexplode("bands").alias("band", "hash"))
-    buckets = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = saved(rows.join(buckets, ["band", "hash"]).select("band", "hash", "node", "doc"), "near-members")
+    width = 4 * ROWS
+    hashes = F.array(*[F.xxhash64(F.lit(k), F.expr(f"substring(sig, {width * k + 1}, {width})")) for k in range(COMPONENTS // ROWS)])
+    rows = found.where("sig is not null").select("node", "doc", F.posexplode(hashes).alias("band", "hash"))
+    buckets = rows.groupBy("band", "hash").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n")
+    members = saved(rows.join(buckets, ["band", "hash"]).select("band", "hash", "leader", "node", "doc"), "near-members")
     bag = saved(_bags_of(docs, members.select("node", "doc").distinct()), "near-bags")
     members = members.drop("doc")
-    todo = members.groupBy("band", "hash").agg(F.min("node").alias("leader"))
-    links = labels = None
-    while True:
-        todo = saved(todo, "near-leaders")
-        if todo.isEmpty():
+    pairs = members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sims = saved(_compared(pairs, bag), "near-sims")
+    labels = components(sims.where(F.col("sim") >= similarity))
+    for best in (4, None):
+        opened = saved(_open(members, labels), "near-open")
+        more = saved(_candidates(opened, sims, bag, similarity, best), "near-pairs")
+        if more.isEmpty():
             break
-        pairs = members.join(todo, ["band", "hash"]).where(F.col("node") > F.col("leader"))
-        if labels is not None:  # what is in one class needs no comparison
-            own, lead = labels.withColumnRenamed("label", "of_node"), labels.select(F.col("node").alias("leader"), F.col("label").alias("of_leader"))
-            pairs = pairs.join(own, "node", "left").join(lead, "leader", "left").where(F.coalesce("of_node", "node") != F.coalesce("of_leader", "leader"))
-        pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        new = saved(_links(pairs, bag, similarity), "near-links")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
-        rest = members.join(todo, ["band", "hash"]).where(F.col("node") > F.col("leader")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        ends = rest.groupBy("band", "hash").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("leader"))
-        todo = ends.where("low < high").select("band", "hash", "leader")
-    return labels if labels is not None else members.select("node", F.col("node").alias("label")).limit(0)
+        sims = sims.unionByName(saved(_compared(more, bag), "near-sims"))
+        labels = components(sims.where(F.col("sim") >= similarity))
+    return labels
 
 
 def classified(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
