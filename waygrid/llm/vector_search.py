@@ -11,9 +11,10 @@ measured for `SAMPLE` queries against all vectors (the largest of theirs).
 
 Every vector is indexed in every table. Buckets are cut into chunks of `CHUNK` vectors, so a
 bucket that a third of all vectors fall into is spread. A chunk meets the queries that
-visit it in one matrix product and returns each query's k best; those of all chunks and
-tables are merged by the exact score. Queries that found fewer than k, though there are
-more vectors, are run against all chunks of one table, which is exact.
+visit it in one matrix product and returns each query's best, k at most; those of all chunks and
+tables are merged by the exact score. Only vectors within REACH times r count here. Queries
+that found fewer than k, though there are more vectors, are run against all chunks of one
+table without that bar, which is exact.
 
 Vectors that are null, zero, of another than the commonest dimension, or hold null or
 non-finite components take no part, nor do rows without vec_id. Rows with an equal vec_id
@@ -37,6 +38,8 @@ from waygrid.llm.common import saved
 SAMPLE, CHUNK, TABLES, SEED = 64, 1024, 2, 5
 #: Chance that a table finds the k-th neighbour; with two tables 0.93 of them are found.
 RECALL = 0.93
+#: How far beyond r a vector may be to count as found.
+REACH = 1.05
 
 
 def _matrix(column) -> np.ndarray:
@@ -115,22 +118,23 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _meet(k: int):
-    """Queries of a chunk against its vectors, both sorted out by one matrix product."""
+    """Queries of a chunk against its vectors by one matrix product: what reaches the query's bar,
+    the k best at most."""
     schema = "query_id long, vec_id long, score double"
 
     def run(vectors, queries):
-        if not vectors.num_rows or not queries.num_rows:
-            return pa.Table.from_pydict({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, qids = np.array(vectors["vec_id"]), np.array(queries["query_id"])
-        x, q = _matrix(vectors["v"]), _matrix(queries["v"])
-        out = []
-        for a in range(0, len(q), 512):
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        ids, qids, bar = np.array(vectors["vec_id"]), np.array(queries["query_id"]), np.array(queries["bar"])
+        x, q = (_matrix(t["v"]) if t.num_rows else np.zeros((0, 1)) for t in (vectors, queries))
+        for a in range(0, len(q) if len(x) else 0, 512):
             scores = q[a : a + 512] @ x.T
             scores[qids[a : a + 512, None] == ids[None, :]] = -np.inf
-            for i, row in enumerate(scores):
-                best = _best(ids, row, min(k, len(ids)))
-                best = best[row[best] > -np.inf]
-                out.append((np.full(len(best), qids[a + i]), ids[best], np.einsum("j,ij->i", q[a + i], x[best])))
+            at, place = np.nonzero((scores >= bar[a : a + 512, None]) & (scores > -np.inf))
+            for i in np.flatnonzero(np.bincount(at, minlength=1) > k):
+                rows = np.flatnonzero(at == i)
+                drop = np.delete(rows, _best(ids[place[rows]], scores[i, place[rows]], k))
+                at, place = np.delete(at, drop), np.delete(place, drop)
+            out.append((qids[a + at], ids[place], np.einsum("ij,ij->i", q[a + at], x[place])))
         cols = [np.concatenate(c) for c in zip(*out)]
         return pa.Table.from_pydict({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -177,7 +181,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     if not sample:
         return vecs.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     radius = _radius(vecs, sample, norm, k) or 1e-6
-    index = Index(dim, max(3, min(8, round(math.log10(n)))), 1.5 * radius, radius, norm)
+    index = Index(dim, max(3, min(8, int(math.log10(n)))), 1.5 * radius, radius, norm)
 
     def hashed(batches):
         for b in batches:
@@ -196,15 +200,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
                     keys = index.probes(x[i : i + 256], t)
                     at = np.repeat(np.arange(i, i + len(keys)), [*map(len, keys)])
                     pick = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array(np.concatenate(keys)), b.column("vec_id").take(pick), b.column("v").take(pick)], ["tab", "bucket", "query_id", "v"])
+                    bar = (norm**2 + (x[at] ** 2).sum(1) - (REACH * radius) ** 2) / 2
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array(np.concatenate(keys)), b.column("vec_id").take(pick), b.column("v").take(pick), pa.array(bar)], ["tab", "bucket", "query_id", "v", "bar"])
 
     rows = vecs.mapInArrow(hashed, "tab int, bucket long, vec_id long, v binary")
     sizes = saved(rows.groupBy("tab", "bucket").agg(F.count("*").alias("n")).select("tab", "bucket", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks")), "ann-buckets")
     chunked = rows.join(sizes, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("vec_id"), "chunks").alias("chunk"), "vec_id", "v")
     where = vecs.where(is_query)
-    visits = where.mapInArrow(probed, "tab int, bucket long, query_id long, v binary").dropDuplicates(["tab", "bucket", "query_id"])
+    visits = where.mapInArrow(probed, "tab int, bucket long, query_id long, v binary, bar double").dropDuplicates(["tab", "bucket", "query_id"])
     keys = ["tab", "bucket", "chunk"]
-    spread = lambda df: df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(*keys, "query_id", "v")
+    spread = lambda df: df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(*keys, "query_id", "v", "bar")
 
     def merged(found: DataFrame) -> DataFrame:
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -219,7 +224,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     short = where.join(full, "vec_id", "left_anti")
     if n > 1 and not short.isEmpty():
         every = sizes.where("tab = 0")
-        rest = short.select(F.col("vec_id").alias("query_id"), "v")
+        rest = short.select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("bar"))
         done = rest.select("query_id")
         # each short query visits all buckets of one table: a stated query set against all rows
         asked = spread(rest.withColumn("tab", F.lit(0)).join(every, "tab"))
