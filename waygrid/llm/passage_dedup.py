@@ -7,10 +7,12 @@ The corpus doesn't fit one suffix array, so windows of LENGTH bytes are dealt to
 by contents: a window goes by its anchor, the least hash of its 16-byte strings, so that
 equal windows meet. Consecutive windows with one anchor travel as one fragment.
  1. Texts are packed into batches, written once.
- 2. Anchors of a batch, each once, as 32-bit tags, go to anchor buckets; a bitmap comes back
-    of those that other batches have too. (Another tag by chance costs work, no error.)
- 3. Fragments with such an anchor, each once for a batch with the least doc_id that has it,
-    go to fragment buckets. Documents without any are done.
+ 2. Of each batch's different fragments, a 32-bit tag of the anchor, a 48-bit hash and the
+    least doc_id that has it go to anchor buckets. Where an anchor has one fragment
+    only, as inside copied passages, the doc_ids decide it: two bits come back. (Another
+    anchor's tag by chance costs work, no error.)
+ 3. Where an anchor has different fragments, those go to fragment buckets, each once for a
+    batch. Documents that neither lose bytes nor have such a fragment are done.
  4. In a bucket, different fragments form one text with a Burrows-Wheeler transform.
     Breadth-first backward extension finds, for lengths 0, 1, 2, ..., where neighbouring
     suffixes stop agreeing, and ends at LENGTH: suffixes without a boundary between
@@ -30,6 +32,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +99,7 @@ def packed(docs: DataFrame) -> DataFrame:
     """batch, n_bytes, payload (zstd of all texts), ids, lens (binary arrays): about BATCH bytes a row."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
 
         def row():
             return pa.RecordBatch.from_pydict({"batch": [uuid.uuid4().hex], "n_bytes": pa.array([size], pa.int64()), "payload": pa.array([press.compress(b"".join(texts))], pa.binary()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "nulls": pa.array([np.array(nulls, bool).tobytes()], pa.binary()), "lens": pa.array([np.array([*map(len, texts)], np.int64).tobytes()], pa.binary())})
@@ -118,8 +121,8 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 class Batch:
-    """A packed batch: its bytes, documents, and runs with the batch's different anchors in the
-    order of their buckets."""
+    """A packed batch: its bytes, documents, and runs. Runs with one fragment share a unit; units
+    stand in the order of their buckets, anchors and hashes."""
 
     def __init__(self, payload: bytes, ids: bytes, lens: bytes, buckets: int):
         raw = zstandard.ZstdDecompressor().decompress(payload) if payload else b""
@@ -128,17 +131,17 @@ class Batch:
         self.ends = np.cumsum(self.lens)
         self.start, self.n_windows, anchor = runs_of(self.data, self.ends)
         self.doc = np.searchsorted(self.ends, self.start, side="right")
-        bucket = (anchor >> U(32)) % U(buckets)
-        self.tag = (anchor & U(0xFFFFFFFF)) | (bucket << U(32))  # buckets < 2**31
-        self.tags, self.tag_no = np.unique(self.tag, return_inverse=True)
-        self.cuts = np.searchsorted(self.tags >> U(32), np.arange(buckets + 1, dtype=U))
-
-    def shared_here(self) -> np.ndarray:
-        """Which anchors two documents of the batch have."""
-        low, high = np.full(len(self.tags), len(self.ids)), np.full(len(self.tags), -1)
-        np.minimum.at(low, self.tag_no, self.doc)
-        np.maximum.at(high, self.tag_no, self.doc)
-        return low < high
+        self.tag = (anchor & U(0xFFFFFFFF)) | ((anchor >> U(32)) % U(buckets) << U(32))  # buckets < 2**31
+        stop = (self.start + self.n_windows + LENGTH - 1).tolist()
+        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(self.start.tolist(), stop)), U, len(stop)) & U((1 << 48) - 1)
+        order = np.lexsort((self.hash, self.tag))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.tag[order][1:] != self.tag[order][:-1]) | (self.hash[order][1:] != self.hash[order][:-1])
+        self.unit = np.empty(len(order), np.int64)
+        self.unit[order] = np.cumsum(new) - 1
+        self.unit_tag, self.unit_hash = self.tag[order][new], self.hash[order][new]
+        self.least = np.minimum.reduceat(self.ids[self.doc[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
+        self.cuts = np.searchsorted(self.unit_tag >> U(32), np.arange(buckets + 1, dtype=U))
 
 
 def _batches(b: pa.RecordBatch, buckets: int):
@@ -146,25 +149,48 @@ def _batches(b: pa.RecordBatch, buckets: int):
         yield i, Batch(payload, ids, lens, buckets)
 
 
-def shared_anchors(packs: DataFrame, buckets: int) -> DataFrame:
-    """batch, bits: for each anchor bucket, a bitmap of the batch's anchors that another has."""
+#: What an anchor bucket says of a unit: nothing is removed but in later documents of the batch
+#: itself; all is removed; its anchor has other fragments, whose bytes decide.
+KEEP, REMOVE, ASK = 0, 1, 2
+
+
+def verdicts(packs: DataFrame, buckets: int) -> DataFrame:
+    """batch, codes: for each anchor bucket, two bits for each unit."""
 
     def send(batches):
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             names = b.column("batch").to_pylist()
             for i, x in _batches(b, buckets):
                 some = np.flatnonzero(np.diff(x.cuts))
-                tags = [x.tags[x.cuts[k] : x.cuts[k + 1]].astype("<u4").tobytes() for k in some]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "batch": [names[i]] * len(some), "tags": pa.array(tags, pa.binary())})
+                part = [slice(x.cuts[k], x.cuts[k + 1]) for k in some]
+                tags = [x.unit_tag[p].astype("<u4").tobytes() for p in part]
+                hashes = [np.ascontiguousarray(x.unit_hash[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for p in part]
+                least = [press.compress(x.least[p].tobytes()) for p in part]
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "batch": pa.array([names[i]] * len(some), pa.string()), "tags": pa.array(tags, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "least": pa.array(least, pa.binary())})
 
     def meet(key, table):
+        open_ = zstandard.ZstdDecompressor().decompress
         tags = [np.frombuffer(t, "<u4") for t in table["tags"].to_pylist()]
-        every = np.sort(np.concatenate(tags))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])  # a batch has a tag once
-        bits = [np.packbits(twice[np.minimum(np.searchsorted(twice, t), len(twice) - 1)] == t if len(twice) else np.zeros(len(t), bool)).tobytes() for t in tags]
+        wide = np.zeros((sum(map(len, tags)), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, 6)
+        tag, h = np.concatenate(tags), wide.view("<u8")[:, 0]
+        least = np.concatenate([np.frombuffer(open_(x), np.int64) for x in table["least"].to_pylist()])
+        order = np.lexsort((h, tag))
+        new = np.ones(len(order), bool)
+        new[1:] = tag[order][1:] != tag[order][:-1]
+        other = np.zeros(len(order), bool)
+        other[1:] = ~new[1:] & (h[order][1:] != h[order][:-1])
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        low = np.minimum.reduceat(least[order], first)
+        asks = np.logical_or.reduceat(other, first)
+        code = np.empty(len(order), np.uint8)
+        code[order] = np.where(asks[group], ASK, np.where(least[order] > low[group], REMOVE, KEEP))
+        ends = np.cumsum([*map(len, tags)])
+        bits = [np.packbits(np.stack([c >> 1, c & 1]), axis=1).tobytes() for c in np.split(code, ends[:-1])]
         return pa.Table.from_pydict({"batch": table["batch"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
-    sent = packs.select("batch", "payload", "ids", "lens").mapInArrow(send, "bucket int, batch string, tags binary")
+    sent = packs.select("batch", "payload", "ids", "lens").mapInArrow(send, "bucket int, batch string, tags binary, hashes binary, least binary")
     back = sent.groupBy("bucket").applyInArrow(meet, "batch string, bucket int, bits binary")
     return back.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("bits"))
 
@@ -173,8 +199,8 @@ STATE = "kind string, batch string, bucket int, payload binary, ids binary, null
 
 
 def fragments(packs: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
-    """Rows of three kinds: `done` (documents without a shared anchor), `state` (the others of
-    a batch, with their runs), `frag` (fragments for a bucket: payload, lens, ids)."""
+    """Rows of three kinds: `done` (documents that lose nothing), `state` (the others of a batch,
+    with their runs), `frag` (fragments for a bucket: payload, lens, ids)."""
     names = [x.split()[0] for x in STATE.split(", ")]
     schema = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]]) for x in STATE.split(", ")])
 
@@ -183,10 +209,11 @@ def fragments(packs: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
         for b in batches:
             bits, batch_names, nulls = b.column("bits").to_pylist(), b.column("batch").to_pylist(), b.column("nulls").to_pylist()
             for i, x in _batches(b, buckets):
-                flag = x.shared_here()
+                code = np.zeros(len(x.unit_tag), np.uint8)
                 for k in bits[i] or ():
                     lo, hi = x.cuts[k["bucket"]], x.cuts[k["bucket"] + 1]
-                    flag[lo:hi] |= np.unpackbits(np.frombuffer(k["bits"], np.uint8), count=hi - lo).astype(bool)
+                    two = np.unpackbits(np.frombuffer(k["bits"], np.uint8).reshape(2, -1), axis=1, count=hi - lo)
+                    code[lo:hi] = two[0] * 2 + two[1]
                 null = np.frombuffer(nulls[i], bool)
                 rows = {n: [] for n in names}
 
@@ -194,30 +221,24 @@ def fragments(packs: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
                     for n in names:
                         rows[n].append(values.get(n))
 
-                hit = np.flatnonzero(flag[x.tag_no])
-                hit = hit[np.argsort((x.tag[hit] & U(0xFFFFFFFF)) % U(frag_buckets), kind="stable")]
-                place = ((x.tag[hit] & U(0xFFFFFFFF)) % U(frag_buckets)).astype(np.int64)
-                number: dict[tuple, int] = {}
-                least: list[int] = []
-                texts: list[bytes] = []
-                of_bucket: list[int] = []
-                frag_no = np.empty(len(hit), np.int32)
-                for j, (r, p, s, n, d) in enumerate(zip(hit.tolist(), place.tolist(), x.start[hit].tolist(), x.n_windows[hit].tolist(), x.ids[x.doc[hit]].tolist())):
-                    text = x.raw[s : s + n + LENGTH - 1]
-                    no = number.setdefault((p, text), len(texts))
-                    if no == len(texts):
-                        texts.append(text)
-                        least.append(d)
-                        of_bucket.append(p)
-                    elif d < least[no]:
-                        least[no] = d
-                    frag_no[j] = no
-                least_of = np.array(least, np.int64)
-                # fragments come in the order of buckets, so those of a bucket are neighbours
-                cuts = np.searchsorted(np.array(of_bucket, np.int64), np.arange(frag_buckets + 1))
+                later = x.ids[x.doc] > x.least[x.unit]  # a smaller document of this batch has the fragment
+                gone = later | (code[x.unit] == REMOVE)
+                # units to ask for, by fragment bucket; those of one bucket are neighbours
+                asked = np.flatnonzero(code == ASK)
+                place = ((x.unit_tag[asked] & U(0xFFFFFFFF)) % U(frag_buckets)).astype(np.int64)
+                by_place = np.argsort(place, kind="stable")
+                asked, place = asked[by_place], place[by_place]
+                number = np.full(len(code), -1, np.int64)
+                number[asked] = np.arange(len(asked))
+                sample = np.zeros(len(code), np.int64)
+                sample[x.unit] = np.arange(len(x.unit))  # some run of each unit
+                start, stop = x.start[sample[asked]], x.start[sample[asked]] + x.n_windows[sample[asked]] + LENGTH - 1
+                texts = [x.raw[s:e] for s, e in zip(start.tolist(), stop.tolist())]
+                cuts = np.searchsorted(place, np.arange(frag_buckets + 1))
                 for p in np.flatnonzero(np.diff(cuts)):
                     lo, hi = cuts[p], cuts[p + 1]
-                    put(kind="frag", batch=batch_names[i], bucket=int(p), payload=press.compress(b"".join(texts[lo:hi])), lens=np.array([*map(len, texts[lo:hi])], np.int32).tobytes(), ids=least_of[lo:hi].tobytes())
+                    put(kind="frag", batch=batch_names[i], bucket=int(p), payload=press.compress(b"".join(texts[lo:hi])), lens=np.array([*map(len, texts[lo:hi])], np.int32).tobytes(), ids=x.least[asked[lo:hi]].tobytes())
+                hit = np.flatnonzero(gone | (number[x.unit] >= 0))
                 touched = np.zeros(len(x.ids), bool)
                 touched[x.doc[hit]] = True
                 starts = x.ends - x.lens
@@ -226,12 +247,11 @@ def fragments(packs: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
                 if touched.any():
                     t = np.flatnonzero(touched)
                     new_no = np.cumsum(touched) - 1
-                    same = x.ids[x.doc[hit]] > least_of[frag_no]  # a smaller document of this batch has the fragment
-                    table = np.stack([new_no[x.doc[hit]], x.start[hit] - starts[x.doc[hit]], x.n_windows[hit], frag_no, same], 1).astype(np.int32)
+                    table = np.stack([new_no[x.doc[hit]], x.start[hit] - starts[x.doc[hit]], x.n_windows[hit], number[x.unit[hit]], gone[hit]], 1).astype(np.int32)
                     put(kind="state", batch=batch_names[i], payload=press.compress(b"".join(x.raw[starts[d] : x.ends[d]] for d in t)), ids=x.ids[t].tobytes(), nulls=null[t].tobytes(), lens=x.lens[t].tobytes(), runs=press.compress(table.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
-    back = packs.join(shared_anchors(packs, buckets), "batch", "left")
+    back = packs.join(verdicts(packs, buckets), "batch", "left")
     return back.select("batch", "payload", "ids", "nulls", "lens", "bits").mapInArrow(run, STATE)
 
 
@@ -321,8 +341,9 @@ def removed_windows(frags: DataFrame) -> DataFrame:
 
 def _frag_sizes(runs: np.ndarray) -> np.ndarray:
     """Windows of each fragment, in the order in which they were sent: by bucket."""
-    size = np.zeros(runs[:, 3].max(initial=-1) + 1, np.int64)
-    size[runs[:, 3]] = runs[:, 2]
+    sent = runs[runs[:, 3] >= 0]
+    size = np.zeros(sent[:, 3].max(initial=-1) + 1, np.int64)
+    size[sent[:, 3]] = sent[:, 2]
     return size
 
 
@@ -349,7 +370,8 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                 lens, table = np.frombuffer(lens, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(runs), np.int32).reshape(-1, 5)
                 size = _frag_sizes(table)
                 at = np.cumsum(size) - size
-                flat = np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks]).astype(bool)
+                # runs that weren't sent look at the entry after the last, which says no
+                flat = np.concatenate([*[np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks or ()], [0]]).astype(bool)
                 out = {x.split()[0]: [] for x in schema.split(", ")}
                 by_doc = np.argsort(table[:, 0], kind="stable")
                 cuts = np.searchsorted(table[by_doc, 0], np.arange(len(lens) + 1))
@@ -357,7 +379,9 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                     mine = table[by_doc[cuts[d] : cuts[d + 1]]]
                     n_win = mine[:, 2].astype(np.int64)
                     offset = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-                    gone = flat[np.repeat(at[mine[:, 3]], n_win) + offset] | np.repeat(mine[:, 4] > 0, n_win)
+                    sent = np.repeat(mine[:, 3] >= 0, n_win)
+                    where = np.repeat(np.append(at, 0)[mine[:, 3]], n_win) + offset
+                    gone = flat[np.where(sent, where, len(flat) - 1)] | np.repeat(mine[:, 4] > 0, n_win)
                     cover = covered_bytes(n, (np.repeat(mine[:, 1].astype(np.int64), n_win) + offset)[gone])
                     text = np.frombuffer(raw, np.uint8, n, first)
                     kept = text[~cover].tobytes()
