@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -71,3 +72,10 @@ def row_hash(*columns) -> F.Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")) for c in columns]))
 
 
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of steps that are saved: its cleaner does so once the driver
+    has collected their plans, which may otherwise take until the job's end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

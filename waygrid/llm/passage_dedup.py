@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.common import saved
+from waygrid.llm.common import release_shuffles, saved
 
 LENGTH, GRAM = 50, 16
 BATCH, PIECE = 1 << 21, 1 << 20
@@ -361,6 +361,7 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     total = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets, frag_buckets = int(max(64, total // (1 << 26))), int(max(64, total // (1 << 21)))
     step = saved(fragments(packs, buckets, frag_buckets), "passage-fragments")
+    release_shuffles(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def run(batches):
