@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.llm.common import by_bytes, strings, work_dir
+from waygrid.llm.common import by_bytes, saved, strings, work_dir
 
 SCALE, LANES, BLOCK, CHECKPOINT = 20, 2048, 1 << 20, 1 << 18
 LOW = np.uint64(1 << 31)
@@ -48,40 +48,37 @@ class WordEncoder:
 
     MARK = "\x01"
 
-    def __init__(self, file: str, memo_words: int = 600_000, batch_chars: int = 1 << 21):
+    def __init__(self, file: str, memo_words: int = 800_000, batch_chars: int = 1 << 21):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
+        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.memo_words, self.batch_chars = memo_words, batch_chars
         mark = self.model.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
-
     def _learn(self, words: set[str]) -> None:
-        missing = list(words - self.memo.keys())
+        missing = [w for w in words if w not in self.memo]
         if len(self.memo) + len(missing) > self.memo_words:
             self.memo.clear()
             missing = list(words)
-        plain = [w for w in missing if self.MARK not in w] if self.mark is not None else []
-        for part in by_bytes(plain, [len(w) + 2 for w in plain], 1 << 15):
-            ids = self._encode(f" {self.MARK} ".join(part))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(part) - 1:
-                ends = [*cuts.tolist(), len(ids)]
-                raw, first = ids.tobytes(), 0
-                for w, end in zip(part, ends):
-                    self.memo[w] = raw[4 * first : 4 * end]
-                    first = end + 1
-        for w in missing:
-            if w not in self.memo:
-                self.memo[w] = self._encode(w).tobytes()
+        parts = [missing[i : i + 2048] for i in range(0, len(missing), 2048)]
+        between = f" {self.MARK} "
+        for part, found in zip(parts, self.model.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else ()
+            if len(cuts) == len(part) - 1:  # else a word holds the mark itself
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                starts = [0, *((cuts + 1) * size).tolist()] if len(part) > 1 else [0]
+                ends = [*(cuts * size).tolist(), len(raw)] if len(part) > 1 else [len(raw)]
+                self.memo.update(zip(part, [raw[s:e] for s, e in zip(starts, ends)]))
+            else:
+                self.memo.update((w, np.array(self.model.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()) for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+        """Little-endian ids of each text, of the encoder's dtype."""
         out = []
         for part in by_bytes(texts, [len(t) for t in texts], self.batch_chars):
             words = [t.replace("\n", " ").split(" ") for t in part]
@@ -173,20 +170,33 @@ class Coder:
         return out
 
 
-def id_counts(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+def token_ids(docs: DataFrame, tokenizer_file: str) -> DataFrame:
+    """doc_id, tie (hash of the text), ids (binary) of every document."""
+
+    def run(batches):
+        encoder = _encoder(tokenizer_file)
+        for b in batches:
+            texts = strings(b.column("text"))
+            for i in range(0, len(texts), 1024):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i : i + 1024], b.column("tie")[i : i + 1024], pa.array(encoder.encode(texts[i : i + 1024]), pa.binary())], ["doc_id", "tie", "ids"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return slim.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def id_counts(tokens: DataFrame, tokenizer_file: str) -> DataFrame:
     """id, n over the ids of all documents; each task sends a row for each id at most."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, dtype = np.zeros(0, np.int64), _encoder(tokenizer_file).dtype
         for b in batches:
-            for part in by_bytes(texts := strings(b.column("text")), [len(t) for t in texts], 1 << 22):
-                found = np.bincount(np.frombuffer(b"".join(_encoder(tokenizer_file).encode(part)), "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), dtype), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    return docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCK_SCHEMA = "part int, block int, n_ids int, crc long, payload binary, doc_ids array<long>, doc_lens array<long>"
@@ -195,44 +205,45 @@ BLOCK_SCHEMA = "part int, block int, n_ids int, crc long, payload binary, doc_id
 def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int | None = None, part_ids: int = 8_000_000) -> None:
     """Encodes whole texts, appends end_id to each, and writes tables/ and blocks/ to path."""
     spark = docs.sparkSession
-    counts = {r.id: r.n for r in id_counts(docs, tokenizer_file).collect()}  # a row for each id of the vocabulary at most
+    tokens = saved(token_ids(docs, tokenizer_file), "token-ids")
+    counts = {r.id: r.n for r in id_counts(tokens, tokenizer_file).collect()}  # a row for each id of the vocabulary at most
     if end_id is not None:
-        counts[end_id] = counts.get(end_id, 0) + docs.count()
+        counts[end_id] = counts.get(end_id, 0) + tokens.count()
     n = np.zeros(max(counts, default=0) + 1, np.int64)
     for i, c in counts.items():
         n[i] = c
     freq = quantised(n)
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq long").coalesce(1).write.parquet(f"{path}/tables")
-    end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches):
-        part, coder, encoder = TaskContext.get().partitionId(), Coder(freq), _encoder(tokenizer_file)
+        part, coder, dtype = TaskContext.get().partitionId(), Coder(freq), _encoder(tokenizer_file).dtype
+        end = np.array([] if end_id is None else [end_id], dtype).tobytes()
+        full = BLOCK * dtype.itemsize
         waiting, size, block, doc_ids, doc_lens = [], 0, 0, [], []
 
         def row(raw: bytes):
-            ids = np.frombuffer(raw, "<u4")
+            ids = np.frombuffer(raw, dtype).astype("<u4")
             return pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(ids)], pa.int32()), "crc": pa.array([zlib.crc32(raw)], pa.int64()),
+                {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(ids)], pa.int32()), "crc": pa.array([zlib.crc32(ids.tobytes())], pa.int64()),
                  "payload": pa.array([coder.encode(ids)], pa.binary()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "doc_lens": pa.array([doc_lens], pa.list_(pa.int64()))}
             )
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), strings(b.column("text"))):
-                raw = encoder.encode([text])[0] + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist()):
+                raw = ids + end
                 waiting.append(raw)
                 doc_ids.append(doc_id)
-                doc_lens.append(len(raw) // 4)
+                doc_lens.append(len(raw) // dtype.itemsize)
                 size += len(raw)
-                while size >= 4 * BLOCK:
+                while size >= full:
                     raw = b"".join(waiting)
-                    yield row(raw[: 4 * BLOCK])
-                    waiting, size, block, doc_ids, doc_lens = [raw[4 * BLOCK :]], size - 4 * BLOCK, block + 1, [], []
+                    yield row(raw[:full])
+                    waiting, size, block, doc_ids, doc_lens = [raw[full:]], size - full, block + 1, [], []
         if doc_ids or size:
             yield row(b"".join(waiting))
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     parts = max(8, int(n.sum()) // part_ids)
-    ordered = slim.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = tokens.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
