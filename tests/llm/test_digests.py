@@ -88,6 +88,24 @@ def test_sharding(docs, rows, empty):
     assert hypergeometric(rng, 0, 9, 4) == 0 and hypergeometric(rng, 9, 0, 4) == 4 and hypergeometric(rng, 3, 1, 4) == 3
 
 
+def test_shards_hold_whole_rows(spark, docs, rows, empty):
+    from waygrid.llm.sharding import shard_digest, shard_documents
+
+    wide = docs.select("*", F.create_map(F.lit("k"), F.col("source")).alias("m"), F.lit(7).alias("row"))
+    out = shard_documents(wide)
+    assert out.columns == [*wide.columns, "shard", "slot"]
+    found = out.collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in found), key=repr) == sorted(map(tuple, rows), key=repr)
+    assert all(r.m == {"k": r.source} and r["row"] == 7 for r in found)
+    places = lambda d: sorted(((r.doc_id, r.shard, r.slot) for r in d), key=repr)
+    assert places(found) == places(shard_documents(wide).collect()) and len({(r.shard, r.slot) for r in found}) == len(rows)
+    assert places(shard_documents(docs).collect()) == places(shard_digest(docs).collect())
+    assert all(f"/shard={s}/" in "".join(out.inputFiles()) for s in range(8))
+    assert shard_documents(empty).count() == 0
+    with pytest.raises(ValueError):
+        shard_documents(docs.withColumn("slot", F.lit(1)))
+
+
 def brute_lines(rows):
     space, seen = " \t\n\x0b\f\r", {}
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(space))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -35,14 +36,14 @@ def work_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def saved(df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back.
+def saved(df: DataFrame, name: str, codec: str = "zstd", by: list[str] | None = None, **options: str) -> DataFrame:
+    """Writes df as Parquet to the shared folder, a folder a value of `by`, and reads it back.
 
     This cuts the lineage: a lost executor costs no recomputation of what came before,
     and what is read twice is computed once."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).options(**options).parquet(path)
+    df.write.option("compression", codec).options(**options).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,3 +80,15 @@ def release_shuffles(spark: SparkSession) -> None:
     has collected their plans, which may otherwise take until the job's end."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def shuffles_end_with_steps(spark: SparkSession):
+    """What is saved in this context has its shuffle files deleted as soon as it is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

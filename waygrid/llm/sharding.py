@@ -12,17 +12,18 @@ hash, so that no task needs a whole shard.
 
 Null doc_id and null text are values like others; null text counts as empty. Equal rows
 fall into one source partition and take places of their own. An empty table gives an
-empty result. Columns beside doc_id and text are not used.
+empty result. Rows keep all their columns through both permutations and the exchange. docs is
+read three times (its rows, the sizes of its source partitions, the exchange) and must read alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.llm.common import saved
+from waygrid.llm.common import saved, shuffles_end_with_steps
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
@@ -59,30 +60,48 @@ def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndar
     return out
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """64 bits of all columns, for an order among rows that agree in doc_id and text. Maps have no hash of their own."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else F.col(c) for c, kind in ((f"`{n}`", k) for n, k in docs.dtypes)])
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 11, part_rows: int = 65_536) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot (the place in the shard, gapless from 0)."""
+    """All columns of docs with shard and slot (the place in the shard, gapless from 0), written as
+    shards: a folder each, whose files hold their rows in the order of slot."""
+    if clash := {"shard", "slot"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns named as the result's: {sorted(clash)}")
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text") + F.lit(1), F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    for name, salt in (("h_part", 1), ("h_send", 2), ("h_range", 3), ("h_slot", 4)):
-        rows = rows.withColumn(name, F.xxhash64(F.lit(seed * 16 + salt), "doc_id", "text_crc32", "size"))
-    rows = saved(rows, "shard-rows")
-    n_rows = rows.count()
-    n_parts = max(64, n_rows // part_rows)
-    rows = rows.withColumn("part", F.pmod("h_part", F.lit(n_parts)))
-    counts = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}  # one row a source partition
+    id_, size, crc = F.col("doc_id").cast("long"), *text_digest()
+    mark = lambda salt: F.xxhash64(F.lit(seed * 16 + salt), id_.alias("doc_id"), crc, size)
+    n_parts = max(64, (n_rows := docs.count()) // part_rows)
+    part = F.pmod(mark(1), F.lit(n_parts))
+    counts = {r[0]: r[1] for r in docs.groupBy(part.alias("part")).count().collect()}  # one row a source partition
     parts = sorted(counts)
     matrix = np.cumsum(communication_matrix([counts[p] for p in parts], n_shards, seed), axis=1)
     ends = spark.createDataFrame([(int(p), m.tolist()) for p, m in zip(parts, matrix)], "part long, ends array<long>")
-    sent = rows.withColumn("nth", F.row_number().over(W.partitionBy("part").orderBy("h_send", "doc_id", "text_crc32", "size"))).join(ends, "part")
+    keys = [id_.alias("id"), crc.alias("crc"), size.alias("size"), _row_hash(docs).alias("all")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), part.alias("part"), mark(2).alias("h_send"), mark(3).alias("h_range"), mark(4).alias("h_slot"), *keys)
+    sent = rows.withColumn("nth", F.row_number().over(W.partitionBy("part").orderBy("h_send", "id", "crc", "size", "all"))).join(F.broadcast(ends), "part")
     sent = sent.withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("nth"))))
     n_ranges = max(64, n_rows // n_shards // part_rows)
-    sent = saved(sent.withColumn("rng", F.pmod("h_range", F.lit(n_ranges))).select("doc_id", "size", "text_crc32", "shard", "rng", "h_slot"), "shard-sent")
+    sent = sent.withColumn("rng", F.pmod("h_range", F.lit(n_ranges))).select("row", "id", "crc", "size", "all", "shard", "rng", "h_slot")
+    with shuffles_end_with_steps(spark):
+        sent = saved(sent, "shard-sent")
     before = sent.groupBy("shard", "rng").count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("shard").orderBy("rng").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    place = F.row_number().over(W.partitionBy("shard", "rng").orderBy("h_slot", "doc_id", "text_crc32", "size"))
-    placed = sent.withColumn("place", place).join(before, ["shard", "rng"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("place") - 1).alias("slot"))
+    place = F.row_number().over(W.partitionBy("shard", "rng").orderBy("h_slot", "id", "crc", "size", "all"))
+    placed = sent.withColumn("place", place).join(F.broadcast(before), ["shard", "rng"])
+    placed = placed.select("row.*", "shard", (F.col("before") + F.col("place") - 1).alias("slot"))
+    with shuffles_end_with_steps(spark):
+        shards = saved(placed, "shards", by=["shard"])
+    return shards.select(*[f"`{c}`" for c in docs.columns], "shard", "slot")
+
+
+def text_digest() -> tuple[Column, Column]:
+    """Bytes of the text and one, and its CRC-32; null counts as empty."""
+    return F.coalesce(F.octet_length("text") + F.lit(1), F.lit(1)).cast("long"), F.crc32(F.coalesce("text", F.lit("")))
 
 
 def shard_digest(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     found = shard_documents(docs, n_shards)
-    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = text_digest()
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
