@@ -78,11 +78,11 @@ def temporal_signature(s, d):
 
 
 def multi_scale(s, d):
-    return out(similarity.multi_scale(_rows(s, d).where("video_id < '12'"), ["video_id", "track_id"], "motion_magnitude", "speed_mph"), "video_id", "track_id", "multi_scale")
+    return out(similarity.multi_scale(_rows(s, d), ["video_id", "track_id"], "motion_magnitude", "speed_mph"), "video_id", "track_id", "multi_scale")
 
 
 def directional(s, d):
-    return out(similarity.directional(_rows(s, d).where("video_id < '12'"), ["video_id", "track_id"], "motion_magnitude", "bearing"), "video_id", "track_id", "directional")
+    return out(similarity.directional(_rows(s, d), ["video_id", "track_id"], "motion_magnitude", "bearing"), "video_id", "track_id", "directional")
 
 
 def _self_pairs(s, d):
