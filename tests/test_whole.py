@@ -1,9 +1,15 @@
 """Queries against SQL without the filters that once shrank both: every recording, point and second counts."""
 
+import datetime
+import random
+
+import numpy as np
 import pytest
 
 from compare import SF, assert_same
 from waygrid import catalog
+from waygrid.functions import arrays
+from waygrid.plans.track_queries import features
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -11,3 +17,67 @@ QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 @pytest.mark.parametrize("name, cut", [("multi_scale", " AND video_id < '12'"), ("directional", " WHERE video_id < '12'")])
 def test_all_recordings(spark, name, cut):
     assert_same(QUERIES[name](spark, SF), SQL[name].replace(cut, ""))
+
+
+@pytest.fixture(scope="module")
+def four_tracks(spark, tmp_path_factory):
+    """A folder with events of four users: 60 to 75 points a minute apart, and one user of 10."""
+    rng, rows, start = random.Random(5), [], datetime.datetime(2024, 3, 1)
+    for user, n in ((1, 60), (2, 75), (3, 66), (4, 10)):
+        for i in range(n):
+            rows.append((len(rows), start + datetime.timedelta(minutes=i + user), user, "view", round(rng.uniform(1, 300), 2), f'{{"k": {rng.randint(0, 99)}}}'))
+    d = str(tmp_path_factory.mktemp("events"))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    whole = {}
+    for r in sorted(features(spark, d).select("track_id", "pt_idx", "elevation", "speed_mph").collect()):
+        x, y = whole.setdefault(r.track_id, ([], []))
+        x.append(r.elevation)
+        y.append(r.speed_mph)
+    return d, {k: (np.array(x), np.array(y)) for k, (x, y) in whole.items()}
+
+
+PAIRS = {(v, t) for v in "123" for t in "123" if v != t}  # user 4's nine minutes fit no other's
+
+
+def brute_warp(cost):
+    n, m = cost.shape
+    total = np.full((n + 1, m + 1), np.inf)
+    total[0, 0] = 0
+    for i in range(n):
+        for j in range(m):
+            total[i + 1, j + 1] = cost[i, j] + min(total[i, j], total[i, j + 1], total[i + 1, j])
+    return total[1:, 1:]
+
+
+def test_sequence_scores_of_whole_series(spark, four_tracks):
+    d, whole = four_tracks
+    found = {(r.video_id, r.track_id): r for r in QUERIES["sequence_scores"](spark, d).collect()}
+    assert set(found) == PAIRS
+    for (v, t), r in found.items():
+        x, y = whole[v][0], whole[t][1]
+        n = min(len(x), len(y))
+        a, b = x[:n] - x[:n].mean(), y[:n] - y[:n].mean()
+        fft = max(abs(sum(a[(i + k) % n] * b[i] for i in range(n))) for k in range(n)) / np.sqrt((a @ a) * (b @ b))
+        a, b = arrays.robust(x), arrays.robust(y)
+        p, q = arrays.shapes(a), arrays.shapes(b)
+        plain, shape = np.abs(a[:, None] - b[None, :]), np.sqrt(((p[:, None] - q[None, :]) ** 2).sum(2))
+        dtw = 1 / (1 + min(brute_warp(plain)[-1, -1], brute_warp(shape)[-1, -1]) / max(len(a), len(b)))
+        assert (r.fft, r.dtw) == pytest.approx((fft, dtw), abs=1e-6)
+
+
+def test_sequence_offsets_of_whole_series(spark, four_tracks):
+    d, whole = four_tracks
+    found = {(r.video_id, r.track_id): r for r in QUERIES["sequence_offsets"](spark, d).collect()}
+    assert set(found) == PAIRS
+    for (v, t), r in found.items():
+        x, y = whole[v][0], whole[t][1]
+        total = brute_warp(np.abs(x[:, None] - y[None, :]))
+        i, j, way = len(x) - 1, len(y) - 1, []
+        while i >= 0 and j >= 0:
+            way.append(j - i)
+            i, j = min([(p, q) for p, q in ((i - 1, j - 1), (i - 1, j), (i, j - 1)) if p >= 0 and q >= 0], key=lambda s: total[s], default=(-1, -1))
+        assert (r.dtw_offset, r.score) == pytest.approx((np.median(way), 1 / (1 + total[-1, -1] / len(way))), abs=1e-6)
+        a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+        c = {k: abs(sum(a[i + k] * b[i] for i in range(len(b)) if 0 <= i + k < len(a))) for k in range(1 - len(b), len(a))}
+        at = max(c, key=c.get)
+        assert r.height == pytest.approx(c[at] / np.sqrt((a @ a) * (b @ b)), abs=1e-6) and abs(r.offset - at) <= 0.5

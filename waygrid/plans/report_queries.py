@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from waygrid.functions import geo, scalar
 from waygrid.operators import aggregates, mapdata, ranking, sequence
 from waygrid.plans import sql as q
-from waygrid.plans.match_queries import LEVELS, QUALITY
+from waygrid.plans.match_queries import LEVELS, QUALITY, _pairs
 from waygrid.plans.track_queries import features, out
 from waygrid.sources import adapters, sinks
 from waygrid.streaming import streams
@@ -181,10 +181,10 @@ def text_functions(s, d):
 
 
 def _pair_arrays(s, d):
-    a = sequence.series(adapters.motion(s, d).where("idx < 48"), "video_id", "idx", x="motion_magnitude")
-    b = sequence.series(features(s, d).where("pt_idx < 48"), "track_id", "pt_idx", y="speed_mph")
-    p = a.join(b, F.col("video_id").cast("int") + 1 == F.col("track_id").cast("int"))
-    return p
+    """Both whole series of every candidate pair."""
+    a = sequence.series(adapters.motion(s, d), "video_id", "idx", x="motion_magnitude")
+    b = sequence.series(features(s, d), "track_id", "pt_idx", y="speed_mph")
+    return _pairs(s, d).select("video_id", "track_id").join(a, "video_id").join(b, "track_id")
 
 
 def sequence_scores(s, d):
@@ -193,8 +193,7 @@ def sequence_scores(s, d):
 
 def sequence_offsets(s, d):
     p = _pair_arrays(s, d)
-    a = sequence.dtw_offsets(p, ["video_id"], "x", "y").withColumnRenamed("offset", "dtw_offset")
-    return out(a.join(sequence.fft_offsets(p, ["video_id"], "x", "y"), "video_id"), "video_id", "dtw_offset", "score", "offset", "height", "scaled_offset", "scaled_height")
+    return out(sequence.pair_offsets(p, ["video_id", "track_id"], "x", "y"), "video_id", "track_id", "dtw_offset", "score", "offset", "height", "scaled_offset", "scaled_height")
 
 
 def offset_search(s, d):
