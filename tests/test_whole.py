@@ -81,3 +81,30 @@ def test_sequence_offsets_of_whole_series(spark, four_tracks):
         c = {k: abs(sum(a[i + k] * b[i] for i in range(len(b)) if 0 <= i + k < len(a))) for k in range(1 - len(b), len(a))}
         at = max(c, key=c.get)
         assert r.height == pytest.approx(c[at] / np.sqrt((a @ a) * (b @ b)), abs=1e-6) and abs(r.offset - at) <= 0.5
+
+
+def test_ensemble_of_three_components(spark, four_tracks):
+    d, whole = four_tracks
+    by = {}
+    for r in sorted(features(spark, d).select("track_id", "pt_idx", "speed_mph", "accel", "speed_change_rate").collect()):
+        by.setdefault(r.track_id, []).append(r[2:])
+
+    def corr(a, b, least):
+        n = min(len(a), len(b))
+        return 0.0 if n < least or min(np.std(a[:n]), np.std(b[:n])) < 1e-8 else abs(np.corrcoef(a[:n], b[:n])[0, 1])
+
+    profile = lambda x: arrays.robust(np.array([x.mean(), x.std(), np.median(x), np.subtract(*np.percentile(x, [75, 25]))]))
+    found = {(r.video_id, r.track_id): r for r in QUERIES["ensemble_match"](spark, d).collect()}
+    assert set(found) == PAIRS
+    for (v, t), r in found.items():
+        x, f = whole[v][0], np.array(by[t])
+        steps = np.diff(f, axis=0)
+        motion = max(corr(x, f[:, 0], 3), corr(x, f[:, 1], 3))
+        temporal = corr(np.diff(x), steps[:, steps.var(0).argmax()], 6)
+        p, q = profile(x), profile(f[:, 0])
+        statistical = abs(p @ q) / np.sqrt((p @ p) * (q @ q))
+        assert (r.motion, r.temporal, r.statistical) == pytest.approx((motion, temporal, statistical), abs=2e-6)
+        assert r.score == pytest.approx(0.4 * motion + 0.3 * temporal + 0.3 * statistical, abs=2e-5) and r.confidence == 1.0
+    for v in "123":
+        order = sorted((t for a, t in PAIRS if a == v), key=lambda t: (-found[v, t].score, t))
+        assert [found[v, t]["rank"] for t in order] == [1, 2]

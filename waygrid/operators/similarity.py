@@ -73,6 +73,18 @@ def statistical_profile(df: DataFrame, key: str, features: list[str]) -> DataFra
     return df.groupBy(key).agg(F.array(*parts).alias("profile"))
 
 
+def robust_profile(profiles: DataFrame) -> DataFrame:
+    """Profiles less their median, over their median absolute deviation; only centred if that is 0."""
+
+    def middle(x):
+        x, n = F.array_sort(x), F.size(x)
+        return (F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2
+
+    d = profiles.withColumn("__mid", middle(F.col("profile"))).withColumn("profile", F.transform("profile", lambda x: x - F.col("__mid")))
+    d = d.withColumn("__mad", middle(F.transform("profile", F.abs)))
+    return d.withColumn("profile", F.transform("profile", lambda x: F.when(F.col("__mad") > 1e-8, F.try_divide(x, F.col("__mad"))).otherwise(x))).drop("__mid", "__mad")
+
+
 def profile_similarity(pairs: DataFrame, a: DataFrame, b: DataFrame, lkey: str, rkey: str) -> DataFrame:
     left, right = a.withColumnRenamed("profile", "p1"), b.withColumnRenamed("profile", "p2")
     return pairs.join(left, lkey).join(right, rkey).withColumn("statistical", F.abs(cosine(F.col("p1"), F.col("p2")))).drop("p1", "p2")

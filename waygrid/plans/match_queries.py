@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waygrid.config import ENSEMBLE_BASIC
 from waygrid.functions import scalar
 from waygrid.operators import joins, similarity, track
 from waygrid.plans import sql as q
@@ -49,13 +50,27 @@ def duration_pairs(s, d):
 
 
 def ensemble_match(s, d):
-    """Motion, temporal and statistical components, their ensemble, and the best five of each recording."""
-    c = similarity.correlations(_rows(s, d), ["video_id", "track_id"], {"m1": ("motion_magnitude", "speed_mph"), "m2": ("motion_magnitude", "accel"), "dir": ("motion_magnitude", "turn_angle")})
-    c = c.withColumns({"motion": F.round(F.greatest("m1", "m2"), 6), "temporal": F.round("dir", 6)})
-    score, confidence = scalar.ensemble_score({"motion": F.col("motion"), "temporal": F.col("temporal")}, {"motion": 0.4, "temporal": 0.3})
+    """Motion, temporal and statistical components, their ensemble, and the best five of each recording.
+
+    temporal correlates the most varied steps of both sides, over six at least. statistical is the cosine
+    of the profiles' common length: a recording has one feature, so of a track's only the first (speed)."""
+    keys = ["video_id", "track_id"]
+    m, f = adapters.motion(s, d).select("video_id", "idx", "motion_magnitude"), features(s, d).withColumn("idx", F.col("pt_idx"))
+    a = similarity.robust_profile(similarity.statistical_profile(m, "video_id", ["motion_magnitude"]))
+    b = similarity.robust_profile(similarity.statistical_profile(f, "track_id", ["speed_mph"]))
+    st = similarity.profile_similarity(_pairs(s, d), a, b, "video_id", "track_id").select(*keys, F.least("statistical", F.lit(1.0)).alias("statistical"))
+    steps = similarity.most_varied(f, "track_id", "idx", ["speed_mph", "accel", "speed_change_rate"]).withColumnRenamed("signature", "y")
+    m = m.join(similarity.most_varied(m, "video_id", "idx", ["motion_magnitude"]).withColumnRenamed("signature", "x"), ["video_id", "idx"], "left")
+    f = f.select("track_id", "idx", "speed_mph", "accel").join(steps, ["track_id", "idx"], "left")
+    rows = similarity.pair_rows(_pairs(s, d), m, f, "video_id", "track_id")
+    both = lambda x: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(x))
+    r = lambda x: similarity.pearson(F.col("motion_magnitude"), F.col(x))
+    c = rows.groupBy(*keys).agg(F.greatest(r("speed_mph"), r("accel")).alias("motion"), similarity.pearson(both("x"), both("y"), 6).alias("temporal"))
+    c = c.join(st, keys).withColumns({k: F.round(k, 6) for k in ENSEMBLE_BASIC})
+    score, confidence = scalar.ensemble_score({k: F.col(k) for k in ENSEMBLE_BASIC}, ENSEMBLE_BASIC)
     c = c.withColumns({"score": F.round(score, 5), "confidence": confidence})
     best = track.top_k(c, "video_id", 5, F.desc("score"), F.col("track_id"))
-    return out(best, "video_id", "track_id", "rank", "motion", "temporal", "score", "confidence")
+    return out(best, "video_id", "track_id", "rank", "motion", "temporal", "statistical", "score", "confidence")
 
 
 def adaptive_ensemble(s, d):
