@@ -19,6 +19,14 @@ def test_all_recordings(spark, name, cut):
     assert_same(QUERIES[name](spark, SF), SQL[name].replace(cut, ""))
 
 
+@pytest.mark.parametrize("name, cuts", [("frame_positions", [" WHERE det_idx % 2 = 0"]), ("frame_positions_first", [" WHERE det_idx % 2 = 0"]), ("band_join", [" WHERE pt_idx % 7 = 0", " WHERE pt_idx % 3 = 1"]), ("filled_seconds", [" WHERE frame_second % 3 = 0"])])
+def test_all_points_and_seconds(spark, name, cuts):
+    sql = SQL[name]
+    for cut in cuts:
+        sql = sql.replace(cut, "")
+    assert_same(QUERIES[name](spark, SF), sql)
+
+
 @pytest.fixture(scope="module")
 def four_tracks(spark, tmp_path_factory):
     """A folder with events of four users: 60 to 75 points a minute apart, and one user of 10."""

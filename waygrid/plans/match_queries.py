@@ -145,7 +145,7 @@ def _gps(s, d):
 
 
 def _frames(s, d):
-    return adapters.detections(s, d).where("det_idx % 2 = 0").select("video_id", "det_idx", (F.col("frame_second") + 1).alias("second"))
+    return adapters.detections(s, d).select("video_id", "det_idx", (F.col("frame_second") + 1).alias("second"))
 
 
 def frame_positions(s, d):
@@ -164,8 +164,8 @@ def shifted_join(s, d):
 
 def band_join(s, d):
     t = adapters.tracks(s, d)
-    left = t.where("pt_idx % 7 = 0").select(F.concat_ws(":", "track_id", "pt_idx").alias("row_id"), "lat", "lon")
-    right = t.where("pt_idx % 3 = 1").select("lat", "lon", (F.col("track_id").cast("int") * 1000 + F.col("pt_idx")).alias("ord"), F.unix_micros("ts").alias("gpx_us"))
+    left = t.select(F.concat_ws(":", "track_id", "pt_idx").alias("row_id"), "lat", "lon")
+    right = t.select("lat", "lon", (F.col("track_id").cast("int") * 1000 + F.col("pt_idx")).alias("ord"), F.unix_micros("ts").alias("gpx_us"))
     return joins.band(left, right).select("row_id", "gpx_us")
 
 
@@ -188,7 +188,6 @@ def interpolation(s, d):
 
 def filled_seconds(s, d):
     g = adapters.detections(s, d).groupBy("video_id", F.col("frame_second").alias("second")).agg(F.avg("confidence").alias("c"))
-    g = g.where("second % 3 = 0")
     return out(joins.filled_seconds(g, "video_id", "c"), "video_id", "second", "c")
 
 
