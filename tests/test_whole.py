@@ -9,6 +9,7 @@ import pytest
 from compare import SF, assert_same
 from waygrid import catalog
 from waygrid.functions import arrays
+from waygrid.operators import similarity
 from waygrid.plans.track_queries import features
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -116,3 +117,36 @@ def test_ensemble_of_three_components(spark, four_tracks):
     for v in "123":
         order = sorted((t for a, t in PAIRS if a == v), key=lambda t: (-found[v, t].score, t))
         assert [found[v, t]["rank"] for t in order] == [1, 2]
+
+
+@pytest.mark.parametrize("name, changes", [
+    ("cross_correlation", [("range(-20, 21)", "range(-200, 201)")]),
+    ("lag_search", [("range(-10, 11)", "range(-20, 21)"), ("WHERE b.track_id", "WHERE abs(lag) <= a.n // 4 AND b.track_id")]),
+])
+def test_all_lags(spark, name, changes):
+    sql = SQL[name]
+    for x, y in changes:
+        sql = sql.replace(x, y)
+    assert_same(QUERIES[name](spark, SF), sql)
+
+
+def test_far_peak(spark, tmp_path):
+    """One point stands out in elevation (the 70th), another in speed (the fifth)."""
+    start = datetime.datetime(2024, 3, 1)
+    rows = [(i, start + datetime.timedelta(minutes=i), 1, "view", 1000.0 * (i == 70), f'{{"k": {500_000 if i == 5 else 0}}}') for i in range(80)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    speed = [r.speed_mph for r in features(spark, str(tmp_path)).orderBy("pt_idx").collect()]
+    (r,) = QUERIES["cross_correlation"](spark, str(tmp_path)).collect()
+    top = np.round(speed, 2)
+    assert r.offset == 70 - int(np.flatnonzero(top == top.max())[-1]) and r.offset > 60  # the least lag on ties
+    assert r.peak == pytest.approx(1000 * max(speed), rel=1e-6)
+
+
+def test_lags_within_a_quarter(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=90)
+    for n, shift, found in ((80, 15, True), (20, 8, False)):
+        a = spark.createDataFrame([("k", i, float(x[i])) for i in range(n)], "k string, idx int, x double")
+        b = spark.createDataFrame([("k", i + shift, float(x[i])) for i in range(n - shift)], "k string, idx int, y double")
+        r = similarity.lagged(a, b, ["k"], "x", "y").first()
+        assert (r.lag == shift and r.score == pytest.approx(1)) == found and abs(r.lag) <= n // 4

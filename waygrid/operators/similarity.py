@@ -117,17 +117,17 @@ def equal_length(rows: DataFrame, keys: list[str], x: str, y: str, n_left: str,
 
 
 def lagged(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, most: int = 20, idx: str = "idx", least: int = 3) -> DataFrame:
-    """Best |r| over lags -most..most of b against a, and its lag (the smallest on ties)."""
-    lags = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("__at", F.col(idx) + F.col("lag"))
+    """Best |r| over lags of b against a, and its lag (the smallest on ties). Lags go up to a quarter of a's length, and `most`."""
+    k = F.least(F.floor(F.count("*").over(W.partitionBy(*keys)) / 4).cast("int"), F.lit(most))
+    lags = a.withColumn("__most", k).withColumn("lag", F.explode(F.sequence(-F.col("__most"), F.col("__most")))).drop("__most").withColumn("__at", F.col(idx) + F.col("lag"))
     m = lags.join(b.withColumnRenamed(idx, "__at"), [*keys, "__at"])
     r = m.groupBy(*keys, "lag").agg(pearson(F.col(x), F.col(y), least).alias("r"))
     return r.groupBy(*keys).agg(F.max("r").alias("score"), F.min_by("lag", F.struct(-F.col("r"), F.abs("lag"), "lag")).alias("lag"))
 
 
-def cross_correlation(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, idx: str = "idx", most: int = 50) -> DataFrame:
-    """Lag with the greatest sum of products (the least lag on ties), over |lag| <= most."""
-    lags = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("__at", F.col(idx) - F.col("lag"))
-    m = lags.join(b.withColumnRenamed(idx, "__at"), [*keys, "__at"])
+def cross_correlation(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, idx: str = "idx") -> DataFrame:
+    """Lag with the greatest sum of products (the least lag on ties), over all lags at which the series meet."""
+    m = a.join(b.withColumnRenamed(idx, "__at"), keys).withColumn("lag", F.col(idx) - F.col("__at"))
     s = m.groupBy(*keys, "lag").agg(F.sum(F.col(x) * F.col(y)).alias("s"))
     return s.groupBy(*keys).agg(F.max("s").alias("peak"), F.max_by("lag", F.struct("s", -F.col("lag"))).alias("offset"))
 

@@ -107,13 +107,13 @@ def _self_pairs(s, d):
 
 def lag_search(s, d):
     a, b = _self_pairs(s, d)
-    r = similarity.lagged(a, b, ["track_id"], "x", "y", 10)
+    r = similarity.lagged(a, b, ["track_id"], "x", "y")
     return out(r, "track_id", "score", "lag")
 
 
 def cross_correlation(s, d):
     a, b = _self_pairs(s, d)
-    r = similarity.cross_correlation(a.withColumn("x", F.col("x").cast("decimal(20,2)")), b.withColumn("y", F.round("y", 2).cast("decimal(20,2)")), ["track_id"], "x", "y", most=20)
+    r = similarity.cross_correlation(a.withColumn("x", F.col("x").cast("decimal(20,2)")), b.withColumn("y", F.round("y", 2).cast("decimal(20,2)")), ["track_id"], "x", "y")
     return r.select("track_id", F.col("peak").cast("double").alias("peak"), "offset")
 
 
