@@ -6,41 +6,46 @@ with a smaller doc_id. Strings are judged on the input; matches never cross docu
 The corpus doesn't fit one suffix array, so windows of LENGTH bytes are dealt to buckets
 by contents: a window goes by its anchor, the least hash of its 16-byte strings, so that
 equal windows meet. Consecutive windows with one anchor travel as one fragment.
- 1. Texts are packed into batches, written once.
- 2. Of each batch's different fragments, a 32-bit tag of the anchor, a 48-bit hash and the
-    least doc_id that has it go to anchor buckets. Where an anchor has one fragment
-    only, as inside copied passages, the doc_ids decide it: two bits come back. (Another
-    anchor's tag by chance costs work, no error.)
- 3. Where an anchor has different fragments, those go to fragment buckets, each once for a
-    batch. Documents that neither lose bytes nor have such a fragment are done.
- 4. In a bucket, different fragments form one text with a Burrows-Wheeler transform.
-    Breadth-first backward extension finds, for lengths 0, 1, 2, ..., where neighbouring
-    suffixes stop agreeing, and ends at LENGTH: suffixes without a boundary between
-    them share LENGTH bytes. Each such interval's least doc_id decides its windows.
+ 1. Texts are packed into batches, written once; they stay there.
+ 2. 32-bit tags of each batch's anchors go to tag buckets, which say of each whether other
+    batches or documents have it. (Tags that agree by chance cost work, no error.)
+ 3. Bytes of fragments whose anchor recurs go to fragment buckets, each different one once
+    for a batch, with its least doc_id. An anchor with more than `HOT` fragments is split
+    by a second anchor of each window, taken by another hash.
+ 4. In a bucket, equal fragments are one text (bytes are compared). Where an anchor has one
+    text only, as inside copied passages, its least doc_id decides all its windows. The
+    others form one text with a Burrows-Wheeler transform. Breadth-first backward extension
+    finds, for lengths 0, 1, 2, ..., where neighbouring suffixes stop agreeing, and ends at
+    LENGTH: suffixes without a boundary between them share LENGTH bytes. Each such
+    interval's least doc_id decides its windows.
  5. A bitmap of removed windows for each fragment goes back to its batch.
 A passage, line or copy that a third of all documents have is sent once a batch.
 
 Null and empty texts have no bytes. Null doc_id counts as the least id; it is given back
 as null. Rows with equal doc_id never remove each other's bytes. Columns beside doc_id and
-text are not used. Texts of any length work: anchors are found piece by piece.
+text are not used. Texts of any length work: anchors are found piece by piece. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.common import release_shuffles, saved
+from waygrid.llm.common import saved, shuffles_end_with_steps
 
 LENGTH, GRAM = 50, 16
-BATCH, PIECE = 1 << 21, 1 << 20
+BATCH, PIECE = 1 << 23, 1 << 20
+#: Bytes of text for each bucket of tags, and of fragments.
+TAG_BUCKET, FRAG_BUCKET = 1 << 27, 1 << 21
+#: Fragments of an anchor (those of a batch count up to 127) beyond which it is split.
+HOT = 8192
 LEAST = -(1 << 63)
 #: Ends a fragment. No UTF-8 text has this byte, and it sorts after all that it has.
 STOP = 0xFF
@@ -63,25 +68,27 @@ def words8(data: np.ndarray, order: str) -> np.ndarray:
     return out
 
 
-def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, ends: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, windows, anchor) of maximal runs of windows with one anchor inside documents
-    that end at `ends`."""
+    that end at `ends`. Another salt chooses other anchors."""
     found = []
     start_of = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     for a in range(0, max(0, len(data) - LENGTH + 1), PIECE):
         piece = data[a : a + PIECE + LENGTH - 1]
         n = len(piece) - LENGTH + 1
         w = words8(piece, "<")
-        h = mix(w[: len(piece) - GRAM + 1] * U(0x9E3779B97F4A7C15) + mix(w[8 : len(piece) - GRAM + 9] + U(0xD1B54A32D192ED03)))
+        h = mix(w[: len(piece) - GRAM + 1] * U(0x9E3779B97F4A7C15) + mix(w[8 : len(piece) - GRAM + 9] + U(0xD1B54A32D192ED03) + U(salt)))
         width, span = 1, LENGTH - GRAM + 1
         while width * 2 <= span:
             h = np.minimum(h[:-width], h[width:])
             width *= 2
         least = np.minimum(h[:n], h[span - width : span - width + n])
         # a window starts in a document if it ends in it too
-        whole = np.ones(n, bool)
-        for e in ends[(ends > a) & (ends < a + n + LENGTH)]:
-            whole[max(0, e - LENGTH + 1 - a) : max(0, min(n, e - a))] = False
+        near = ends[(ends > a) & (ends < a + n + LENGTH)] - a
+        whole = np.zeros(n + 1, np.int64)
+        np.add.at(whole, np.clip(near - LENGTH + 1, 0, n), 1)
+        np.add.at(whole, np.clip(near, 0, n), -1)
+        whole = np.cumsum(whole)[:n] == 0
         change = np.ones(n, bool)
         change[1:] = (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])
         inner = start_of[(start_of > a) & (start_of < a + n)] - a
@@ -96,15 +103,17 @@ def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """batch, n_bytes, payload (zstd of all texts), ids, lens (binary arrays): about BATCH bytes a row."""
+    """batch, n_bytes, payload (zstd of all texts), ids, nulls, lens (binary arrays): about BATCH
+    bytes a row."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
 
         def row():
-            return pa.RecordBatch.from_pydict({"batch": [uuid.uuid4().hex], "n_bytes": pa.array([size], pa.int64()), "payload": pa.array([press.compress(b"".join(texts))], pa.binary()), "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "nulls": pa.array([np.array(nulls, bool).tobytes()], pa.binary()), "lens": pa.array([np.array([*map(len, texts)], np.int64).tobytes()], pa.binary())})
+            arrays = [np.array(ids, np.int64), np.array(nulls, bool), np.array([*map(len, texts)], np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([size], pa.int64()), pa.array([press.compress(b"".join(texts))], pa.binary()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], ["batch", "n_bytes", "payload", "ids", "nulls", "lens"])
 
-        texts, ids, nulls, size = [], [], [], 0
+        texts, ids, nulls, size, number = [], [], [], 0, 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 texts.append((t or "").encode())
@@ -113,35 +122,94 @@ def packed(docs: DataFrame) -> DataFrame:
                 size += len(texts[-1])
                 if size >= BATCH or len(texts) >= 65_536:
                     yield row()
-                    texts, ids, nulls, size = [], [], [], 0
+                    texts, ids, nulls, size, number = [], [], [], 0, number + 1
         if texts:
             yield row()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "batch string, n_bytes long, payload binary, ids binary, nulls binary, lens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "batch long, n_bytes long, payload binary, ids binary, nulls binary, lens binary")
+
+
+#: What a tag bucket says of a tag: nobody else has it; its fragments are compared; they are split
+#: by a second anchor before that.
+ALONE, ASK, SPLIT = 0, 1, 2
 
 
 class Batch:
-    """A packed batch: its bytes, documents, and runs. Runs with one fragment share a unit; units
-    stand in the order of their buckets, anchors and hashes."""
+    """A packed batch: its bytes, documents, runs, and the runs' tags, which stand in the order of
+    their buckets."""
 
     def __init__(self, payload: bytes, ids: bytes, lens: bytes, buckets: int):
-        raw = zstandard.ZstdDecompressor().decompress(payload) if payload else b""
-        self.raw, self.data = raw, np.frombuffer(raw, np.uint8)
+        self.raw = zstandard.ZstdDecompressor().decompress(payload) if payload else b""
         self.ids, self.lens = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
         self.ends = np.cumsum(self.lens)
-        self.start, self.n_windows, anchor = runs_of(self.data, self.ends)
+        self.start, self.n_windows, anchor = runs_of(np.frombuffer(self.raw, np.uint8), self.ends)
         self.doc = np.searchsorted(self.ends, self.start, side="right")
-        self.tag = (anchor & U(0xFFFFFFFF)) | ((anchor >> U(32)) % U(buckets) << U(32))  # buckets < 2**31
-        stop = (self.start + self.n_windows + LENGTH - 1).tolist()
-        self.hash = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(self.start.tolist(), stop)), U, len(stop)) & U((1 << 48) - 1)
-        order = np.lexsort((self.hash, self.tag))
-        new = np.ones(len(order), bool)
-        new[1:] = (self.tag[order][1:] != self.tag[order][:-1]) | (self.hash[order][1:] != self.hash[order][:-1])
-        self.unit = np.empty(len(order), np.int64)
-        self.unit[order] = np.cumsum(new) - 1
-        self.unit_tag, self.unit_hash = self.tag[order][new], self.hash[order][new]
-        self.least = np.minimum.reduceat(self.ids[self.doc[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, np.int64)
-        self.cuts = np.searchsorted(self.unit_tag >> U(32), np.arange(buckets + 1, dtype=U))
+        tag = (anchor & U(0xFFFFFFFF)) | ((anchor >> U(32)) % U(buckets) << U(32))  # buckets < 2**31
+        self.tags, self.tag_of, self.times = np.unique(tag, return_inverse=True, return_counts=True)
+
+    def in_buckets(self):
+        """(bucket, first, last) of the buckets that the tags fall into."""
+        bucket, first = np.unique(self.tags >> U(32), return_index=True)
+        return zip(bucket.tolist(), first.tolist(), np.append(first[1:], len(self.tags)).tolist())
+
+    def several(self) -> np.ndarray:
+        """Tags that several documents of this batch have."""
+        low, high = np.full(len(self.tags), len(self.ids)), np.full(len(self.tags), -1)
+        np.minimum.at(low, self.tag_of, self.doc)
+        np.maximum.at(high, self.tag_of, self.doc)
+        return low < high
+
+    def codes(self, replies) -> np.ndarray:
+        code = np.zeros(len(self.tags), np.uint8)
+        for r in replies or ():
+            lo, hi = np.searchsorted(self.tags, np.array([r["bucket"], r["bucket"] + 1], U) << U(32)).tolist()
+            two = np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(2, -1), axis=1, count=hi - lo)
+            code[lo:hi] = two[0] * 2 + two[1]
+        return code
+
+    def fragments(self, replies, frag_buckets: int) -> None:
+        """Sets what is sent. Asked runs with equal bytes are one unit, whose least id is `least`; a
+        unit is sent as one piece, or split as several. Pieces stand in the order of their buckets
+        (`place`): unit, where it starts in the unit, windows, key (of the anchor), text."""
+        code = self.codes(replies)
+        self.asked = np.flatnonzero(code[self.tag_of] != ALONE)
+        number: dict[bytes, int] = {}
+        start, stop = self.start[self.asked], self.start[self.asked] + self.n_windows[self.asked] + LENGTH - 1
+        self.unit = np.fromiter((number.setdefault(self.raw[s:e], len(number)) for s, e in zip(start.tolist(), stop.tolist())), np.int64, len(start))
+        self.least = np.full(len(number), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, self.unit, self.ids[self.doc[self.asked]])
+        texts, tag = [*number], np.zeros(len(number), np.int64)
+        tag[self.unit] = self.tag_of[self.asked]  # equal bytes have one anchor
+        self.size = np.array([len(t) - LENGTH + 1 for t in texts], np.int64)
+        whole, split = np.flatnonzero(code[tag] == ASK), np.flatnonzero(code[tag] == SPLIT)
+        parts = [(whole, np.zeros(len(whole), np.int64), self.size[whole], self.tags[tag[whole]])]
+        if len(split):
+            ends = np.cumsum(self.size[split] + LENGTH - 1)
+            s, n, anchor = runs_of(np.frombuffer(b"".join(texts[u] for u in split), np.uint8), ends, salt=1)
+            owner = np.searchsorted(ends, s, side="right")
+            parts.append((split[owner], s - (ends[owner] - self.size[split[owner]] - LENGTH + 1), n, anchor))
+        unit, begin, windows, key = [np.concatenate(x) for x in zip(*parts)]
+        place = (mix(key) % U(frag_buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        self.place, self.piece_unit, self.piece_begin, self.piece_windows = place[order], unit[order], begin[order], windows[order]
+        self.piece_key = (key[order] & U(0xFFFFFFFF)).astype("<u4")
+        self.texts = texts
+
+    def piece_texts(self, lo: int, hi: int) -> list[bytes]:
+        return [self.texts[u][b : b + n + LENGTH - 1] for u, b, n in zip(self.piece_unit[lo:hi].tolist(), self.piece_begin[lo:hi].tolist(), self.piece_windows[lo:hi].tolist())]
+
+    def removed(self, masks) -> tuple[np.ndarray, np.ndarray]:
+        """(document, start) of the windows that go. masks hold a bit for each window sent."""
+        flat = np.concatenate([*[np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks or ()], np.zeros(0, np.uint8)]).astype(bool)
+        at = np.cumsum(self.size) - self.size  # where a unit's windows begin
+        windows, total = self.piece_windows, int(self.size.sum())
+        gone = np.zeros(total, bool)
+        gone[np.repeat(at[self.piece_unit] + self.piece_begin, windows) + np.arange(len(flat)) - np.repeat(np.cumsum(windows) - windows, windows)] = flat
+        n = self.n_windows[self.asked]
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        later = self.ids[self.doc[self.asked]] > self.least[self.unit]  # a smaller document of this batch has it
+        hit = gone[np.repeat(at[self.unit], n) + offset] | np.repeat(later, n)
+        return np.repeat(self.doc[self.asked], n)[hit], (np.repeat(self.start[self.asked], n) + offset)[hit]
 
 
 def _batches(b: pa.RecordBatch, buckets: int):
@@ -149,110 +217,57 @@ def _batches(b: pa.RecordBatch, buckets: int):
         yield i, Batch(payload, ids, lens, buckets)
 
 
-#: What an anchor bucket says of a unit: nothing is removed but in later documents of the batch
-#: itself; all is removed; its anchor has other fragments, whose bytes decide.
-KEEP, REMOVE, ASK = 0, 1, 2
-
-
 def verdicts(packs: DataFrame, buckets: int) -> DataFrame:
-    """batch, codes: for each anchor bucket, two bits for each unit."""
+    """batch, bits: for each tag bucket, two bits for each tag of the batch."""
 
     def send(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             names = b.column("batch").to_pylist()
             for i, x in _batches(b, buckets):
-                some = np.flatnonzero(np.diff(x.cuts))
-                part = [slice(x.cuts[k], x.cuts[k + 1]) for k in some]
-                tags = [x.unit_tag[p].astype("<u4").tobytes() for p in part]
-                hashes = [np.ascontiguousarray(x.unit_hash[p].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for p in part]
-                least = [press.compress(x.least[p].tobytes()) for p in part]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "batch": pa.array([names[i]] * len(some), pa.string()), "tags": pa.array(tags, pa.binary()), "hashes": pa.array(hashes, pa.binary()), "least": pa.array(least, pa.binary())})
+                mark = (np.minimum(x.times, 127) << 1 | x.several()).astype(np.uint8)
+                parts = [*x.in_buckets()]
+                tags = [x.tags[lo:hi].astype("<u4").tobytes() for _, lo, hi in parts]
+                marks = [press.compress(mark[lo:hi].tobytes()) for _, lo, hi in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int32()), pa.array([names[i]] * len(parts), pa.int64()), pa.array(tags, pa.binary()), pa.array(marks, pa.binary())], ["bucket", "batch", "tags", "marks"])
 
     def meet(key, table):
         open_ = zstandard.ZstdDecompressor().decompress
         tags = [np.frombuffer(t, "<u4") for t in table["tags"].to_pylist()]
-        wide = np.zeros((sum(map(len, tags)), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(table["hashes"].to_pylist()), np.uint8).reshape(-1, 6)
-        tag, h = np.concatenate(tags), wide.view("<u8")[:, 0]
-        least = np.concatenate([np.frombuffer(open_(x), np.int64) for x in table["least"].to_pylist()])
-        order = np.lexsort((h, tag))
-        new = np.ones(len(order), bool)
-        new[1:] = tag[order][1:] != tag[order][:-1]
-        other = np.zeros(len(order), bool)
-        other[1:] = ~new[1:] & (h[order][1:] != h[order][:-1])
-        first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        low = np.minimum.reduceat(least[order], first)
-        asks = np.logical_or.reduceat(other, first)
-        code = np.empty(len(order), np.uint8)
-        code[order] = np.where(asks[group], ASK, np.where(least[order] > low[group], REMOVE, KEEP))
-        ends = np.cumsum([*map(len, tags)])
-        bits = [np.packbits(np.stack([c >> 1, c & 1]), axis=1).tobytes() for c in np.split(code, ends[:-1])]
+        mark = np.concatenate([np.frombuffer(open_(m), np.uint8) for m in table["marks"].to_pylist()])
+        _, group, n = np.unique(np.concatenate(tags), return_inverse=True, return_counts=True)
+        shared = (n > 1) | (np.bincount(group, mark & 1) > 0)
+        hot = np.bincount(group, mark >> 1) > HOT
+        code = np.where(shared, np.where(hot, SPLIT, ASK), ALONE).astype(np.uint8)[group]
+        bits = [np.packbits(np.stack([c >> 1, c & 1]), axis=1).tobytes() for c in np.split(code, np.cumsum([*map(len, tags)])[:-1])]
         return pa.Table.from_pydict({"batch": table["batch"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
-    sent = packs.select("batch", "payload", "ids", "lens").mapInArrow(send, "bucket int, batch string, tags binary, hashes binary, least binary")
-    back = sent.groupBy("bucket").applyInArrow(meet, "batch string, bucket int, bits binary")
+    sent = packs.select("batch", "payload", "ids", "lens").mapInArrow(send, "bucket int, batch long, tags binary, marks binary")
+    back = sent.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, bits binary")
     return back.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "bits"))).alias("bits"))
 
 
-STATE = "kind string, batch string, bucket int, payload binary, ids binary, nulls binary, lens binary, runs binary, doc_id long, n_bytes long, kept_sha256 string"
-
-
-def fragments(packs: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
-    """Rows of three kinds: `done` (documents that lose nothing), `state` (the others of a batch,
-    with their runs), `frag` (fragments for a bucket: payload, lens, ids)."""
-    names = [x.split()[0] for x in STATE.split(", ")]
-    schema = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "long": pa.int64()}[x.split()[1]]) for x in STATE.split(", ")])
+def fragments(asked: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
+    """bucket, batch, payload, lens, keys, ids: the pieces of a batch for each fragment bucket."""
+    schema = "bucket int, batch long, payload binary, lens binary, keys binary, ids binary"
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            bits, batch_names, nulls = b.column("bits").to_pylist(), b.column("batch").to_pylist(), b.column("nulls").to_pylist()
+            names, bits = b.column("batch").to_pylist(), b.column("bits").to_pylist()
             for i, x in _batches(b, buckets):
-                code = np.zeros(len(x.unit_tag), np.uint8)
-                for k in bits[i] or ():
-                    lo, hi = x.cuts[k["bucket"]], x.cuts[k["bucket"] + 1]
-                    two = np.unpackbits(np.frombuffer(k["bits"], np.uint8).reshape(2, -1), axis=1, count=hi - lo)
-                    code[lo:hi] = two[0] * 2 + two[1]
-                null = np.frombuffer(nulls[i], bool)
-                rows = {n: [] for n in names}
-
-                def put(**values):
-                    for n in names:
-                        rows[n].append(values.get(n))
-
-                later = x.ids[x.doc] > x.least[x.unit]  # a smaller document of this batch has the fragment
-                gone = later | (code[x.unit] == REMOVE)
-                # units to ask for, by fragment bucket; those of one bucket are neighbours
-                asked = np.flatnonzero(code == ASK)
-                place = ((x.unit_tag[asked] & U(0xFFFFFFFF)) % U(frag_buckets)).astype(np.int64)
-                by_place = np.argsort(place, kind="stable")
-                asked, place = asked[by_place], place[by_place]
-                number = np.full(len(code), -1, np.int64)
-                number[asked] = np.arange(len(asked))
-                sample = np.zeros(len(code), np.int64)
-                sample[x.unit] = np.arange(len(x.unit))  # some run of each unit
-                start, stop = x.start[sample[asked]], x.start[sample[asked]] + x.n_windows[sample[asked]] + LENGTH - 1
-                texts = [x.raw[s:e] for s, e in zip(start.tolist(), stop.tolist())]
-                cuts = np.searchsorted(place, np.arange(frag_buckets + 1))
-                for p in np.flatnonzero(np.diff(cuts)):
-                    lo, hi = cuts[p], cuts[p + 1]
-                    put(kind="frag", batch=batch_names[i], bucket=int(p), payload=press.compress(b"".join(texts[lo:hi])), lens=np.array([*map(len, texts[lo:hi])], np.int32).tobytes(), ids=x.least[asked[lo:hi]].tobytes())
-                hit = np.flatnonzero(gone | (number[x.unit] >= 0))
-                touched = np.zeros(len(x.ids), bool)
-                touched[x.doc[hit]] = True
-                starts = x.ends - x.lens
-                for d in np.flatnonzero(~touched):
-                    put(kind="done", doc_id=None if null[d] else int(x.ids[d]), n_bytes=int(x.lens[d]), kept_sha256=hashlib.sha256(x.raw[starts[d] : x.ends[d]]).hexdigest())
-                if touched.any():
-                    t = np.flatnonzero(touched)
-                    new_no = np.cumsum(touched) - 1
-                    table = np.stack([new_no[x.doc[hit]], x.start[hit] - starts[x.doc[hit]], x.n_windows[hit], number[x.unit[hit]], gone[hit]], 1).astype(np.int32)
-                    put(kind="state", batch=batch_names[i], payload=press.compress(b"".join(x.raw[starts[d] : x.ends[d]] for d in t)), ids=x.ids[t].tobytes(), nulls=null[t].tobytes(), lens=x.lens[t].tobytes(), runs=press.compress(table.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
-
-    back = packs.join(verdicts(packs, buckets), "batch", "left")
-    return back.select("batch", "payload", "ids", "nulls", "lens", "bits").mapInArrow(run, STATE)
+                x.fragments(bits[i], frag_buckets)
+                place, first = np.unique(x.place, return_index=True)
+                cuts = [*zip(first.tolist(), np.append(first[1:], len(x.place)).tolist())]
+                for a in range(0, len(cuts), 1024):
+                    texts = [x.piece_texts(lo, hi) for lo, hi in cuts[a : a + 1024]]
+                    lens = [np.array([*map(len, t)], np.int32).tobytes() for t in texts]
+                    ids = [x.least[x.piece_unit[lo:hi]].tobytes() for lo, hi in cuts[a : a + 1024]]
+                    keys = [x.piece_key[lo:hi].tobytes() for lo, hi in cuts[a : a + 1024]]
+                    columns = [pa.array(place[a : a + 1024], pa.int32()), pa.array([names[i]] * len(texts), pa.int64()), *[pa.array(c, pa.binary()) for c in ([press.compress(b"".join(t)) for t in texts], lens, keys, ids)]]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return asked.select("batch", "payload", "ids", "lens", "bits").mapInArrow(run, schema)
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -317,36 +332,36 @@ def removed_windows(frags: DataFrame) -> DataFrame:
     """batch, masks: for each fragment bucket, bitmaps of the windows that a smaller document has."""
 
     def meet(key, table):
+        open_ = zstandard.ZstdDecompressor().decompress
         number: dict[bytes, int] = {}
         least: list[int] = []
+        anchor: list[int] = []
         sent = []
-        for payload, lens, ids in zip(table["payload"].to_pylist(), table["lens"].to_pylist(), table["ids"].to_pylist()):
-            raw, at, mine = zstandard.ZstdDecompressor().decompress(payload), 0, []
-            for n, d in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(ids, np.int64).tolist()):
+        for payload, lens, keys, ids in zip(*[table[c].to_pylist() for c in ("payload", "lens", "keys", "ids")]):
+            raw, at, mine = open_(payload), 0, []
+            for n, k, d in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(keys, "<u4").tolist(), np.frombuffer(ids, np.int64).tolist()):
                 no = number.setdefault(raw[at : at + n], len(least))
                 if no == len(least):
                     least.append(d)
+                    anchor.append(k)
                 elif d < least[no]:
                     least[no] = d
                 mine.append((no, d))
                 at += n
             sent.append(mine)
-        low = window_minima(list(number), np.array(least, np.int64))
-        masks = [np.concatenate([low[no] < d for no, d in mine]) for mine in sent]
+        texts, low = [*number], [np.array([d]) for d in least]  # one number for all windows of a text
+        _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
+        mixed = np.flatnonzero(times[group] > 1)
+        if len(mixed):
+            for no, found in zip(mixed.tolist(), window_minima([texts[no] for no in mixed], np.array(least, np.int64)[mixed])):
+                low[no] = found
+        masks = [np.concatenate([np.broadcast_to(low[no] < d, len(texts[no]) - LENGTH + 1) for no, d in mine]) for mine in sent]
         return pa.Table.from_pydict({"batch": table["batch"], "bucket": table["bucket"], "n": pa.array([*map(len, masks)], pa.int64()), "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
 
-    back = frags.select("bucket", "batch", "payload", "lens", "ids").groupBy("bucket").applyInArrow(meet, "batch string, bucket int, n long, mask binary")
+    back = frags.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, mask binary")
     return back.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
 
 
-def _frag_sizes(runs: np.ndarray) -> np.ndarray:
-    """Windows of each fragment, in the order in which they were sent: by bucket."""
-    sent = runs[runs[:, 3] >= 0]
-    size = np.zeros(sent[:, 3].max(initial=-1) + 1, np.int64)
-    size[sent[:, 3]] = sent[:, 2]
-    return size
-
-
 def covered_bytes(n: int, starts: np.ndarray) -> np.ndarray:
     step = np.zeros(n + 1, np.int32)
     np.add.at(step, starts, 1)
@@ -359,45 +374,33 @@ def dedup_passages(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     remaining bytes, or null if nothing was removed)."""
     packs = saved(packed(docs), "passage-packs", codec="uncompressed")
     total = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets, frag_buckets = int(max(64, total // (1 << 26))), int(max(64, total // (1 << 21)))
-    step = saved(fragments(packs, buckets, frag_buckets), "passage-fragments")
-    release_shuffles(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    buckets, frag_buckets = int(max(64, total // TAG_BUCKET)), int(max(64, total // FRAG_BUCKET))
+    with shuffles_end_with_steps(docs.sparkSession):
+        bits = saved(verdicts(packs, buckets), "passage-verdicts")
+        frags = fragments(packs.join(bits, "batch"), buckets, frag_buckets)
+        masks = saved(removed_windows(frags), "passage-masks")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text]
+    types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
 
     def run(batches):
         for b in batches:
-            for payload, ids, nulls, lens, runs, masks in zip(*[b.column(c).to_pylist() for c in ("payload", "ids", "nulls", "lens", "runs", "masks")]):
-                raw = zstandard.ZstdDecompressor().decompress(payload)
-                lens, table = np.frombuffer(lens, np.int64), np.frombuffer(zstandard.ZstdDecompressor().decompress(runs), np.int32).reshape(-1, 5)
-                size = _frag_sizes(table)
-                at = np.cumsum(size) - size
-                # runs that weren't sent look at the entry after the last, which says no
-                flat = np.concatenate([*[np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in masks or ()], [0]]).astype(bool)
-                out = {x.split()[0]: [] for x in schema.split(", ")}
-                by_doc = np.argsort(table[:, 0], kind="stable")
-                cuts = np.searchsorted(table[by_doc, 0], np.arange(len(lens) + 1))
-                for d, (first, n) in enumerate(zip((np.cumsum(lens) - lens).tolist(), lens.tolist())):
-                    mine = table[by_doc[cuts[d] : cuts[d + 1]]]
-                    n_win = mine[:, 2].astype(np.int64)
-                    offset = np.arange(n_win.sum()) - np.repeat(np.cumsum(n_win) - n_win, n_win)
-                    sent = np.repeat(mine[:, 3] >= 0, n_win)
-                    where = np.repeat(np.append(at, 0)[mine[:, 3]], n_win) + offset
-                    gone = flat[np.where(sent, where, len(flat) - 1)] | np.repeat(mine[:, 4] > 0, n_win)
-                    cover = covered_bytes(n, (np.repeat(mine[:, 1].astype(np.int64), n_win) + offset)[gone])
-                    text = np.frombuffer(raw, np.uint8, n, first)
-                    kept = text[~cover].tobytes()
-                    out["doc_id"].append(None if nulls[d] else int(np.frombuffer(ids, np.int64)[d]))
-                    out["n_bytes"].append(n)
-                    out["n_removed"].append(int(cover.sum()))
-                    out["n_spans"].append(int((cover[1:] & ~cover[:-1]).sum() + cover[:1].sum()))
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    if keep_text:
-                        out["kept"].append(kept)
-                types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
-
-    state = step.where("kind = 'state'").join(removed_windows(step.where("kind = 'frag'")), "batch", "left")
-    changed = state.select("payload", "ids", "nulls", "lens", "runs", "masks").mapInArrow(run, schema)
-    zero = F.lit(0).cast("long")
-    done = step.where("kind = 'done'").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", *[F.lit(None).cast("binary").alias("kept")] * keep_text)
-    return changed.unionByName(done)
+            bits, masks, nulls = [b.column(c).to_pylist() for c in ("bits", "masks", "nulls")]
+            for i, x in _batches(b, buckets):
+                x.fragments(bits[i], frag_buckets)
+                doc, start = x.removed(masks[i])
+                cuts = np.searchsorted(doc, np.arange(len(x.ids) + 1)).tolist()  # runs stand in the order of documents
+                null, rows = np.frombuffer(nulls[i], bool), []
+                for d, (end, n) in enumerate(zip(x.ends.tolist(), x.lens.tolist())):
+                    text, first, last = x.raw[end - n : end], cuts[d], cuts[d + 1]
+                    removed = spans = 0
+                    kept = text
+                    if first < last:
+                        cover = covered_bytes(n, start[first:last] - (end - n))
+                        removed, spans = int(cover.sum()), int((cover[1:] & ~cover[:-1]).sum() + cover[0])
+                        kept = np.frombuffer(text, np.uint8)[~cover].tobytes()
+                    rows.append((None if null[d] else int(x.ids[d]), n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if removed else None))
+                for a in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 4096]), types)], names)
+
+    whole = packs.join(bits, "batch", "left").join(masks, "batch", "left")
+    return whole.select("payload", "ids", "nulls", "lens", "bits", "masks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
