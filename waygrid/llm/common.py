@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import tempfile
 import uuid
 
@@ -23,15 +22,16 @@ def tokenizer_path(name: str) -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and written steps.
-
-    It is the session's spark.checkpoint.dir. Only where that is unset (tests, a
-    laptop) a folder of this machine is made and kept for the session."""
+    """Shared folder for checkpoints and written steps: the session's spark.checkpoint.dir. Only
+    where that is unset and all runs on this machine (tests, a laptop), a folder of its own is
+    made and kept for the session; on a cluster that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not place:
         place = getattr(sc, "_waygrid_dir", None)
         if not place:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             place = sc._waygrid_dir = tempfile.mkdtemp(prefix="waygrid-")
     return place.rstrip("/")
 
@@ -56,6 +56,10 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def utf8_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def by_bytes(items: list, sizes: list[int], most: int):
     """Slices of items, in order, of about `most` bytes each (one item at least)."""
     first, total = 0, 0
@@ -73,13 +77,12 @@ def row_hash(*columns) -> F.Column:
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")) for c in columns]))
 
 
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps that are saved: its cleaner does so once the driver
-    has collected their plans, which may otherwise take until the job's end."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def dropped(df: DataFrame) -> None:
+    """Deletes a saved step that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager

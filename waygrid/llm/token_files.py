@@ -5,11 +5,13 @@ ascending doc_id order, cut into blocks of `BLOCK` ids. In a block, `LANES` code
 turns (id i belongs to lane i mod LANES), so encoding and decoding work on whole rows of
 lanes at once. Each block is independent: it has its own CRC-32, the documents that start
 in it, and a checkpoint (all lanes' states and the place in the stream) every
-`CHECKPOINT` ids, from which decoding can start too.
+`CHECKPOINT` ids. Blocks are decoded each by itself, wherever they lie, and a block from all its
+checkpoints at once. Only documents that go on in another block are put together afterwards.
 
 File format: Parquet, written by Spark's committer to the shared folder, so a lost
 executor leaves no half-written file and no block. `tables/` has (id, freq), `blocks/` a
-row for each block: part, block, n_ids, crc, payload, doc_ids, doc_lens. The payload is
+row for each block: part, block, n_ids, crc, owner (the block where the document begins that
+its first ids belong to), lead (how many), payload, doc_ids, doc_lens. The payload is
   u32 lanes, u32 words, u32 checkpoints; u64 states of all lanes before the first id;
   for each checkpoint: u32 id, u32 word, u64 states; u32 words of the stream; all
   little-endian.
@@ -20,51 +22,98 @@ doc_id stand in the order of their text's hash. Columns beside doc_id and text a
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.llm.common import by_bytes, saved, strings, work_dir
+from waygrid.llm.common import by_bytes, dropped, saved, work_dir
 
 SCALE, LANES, BLOCK, CHECKPOINT = 20, 2048, 1 << 20, 1 << 18
 LOW = np.uint64(1 << 31)
 
 
-class WordEncoder:
-    """Ids of texts by the tokenizers library, word by word, with a bounded memo.
+def white_space_cuts(spec: dict) -> bool:
+    """Whether a tokenizer file proves that ids of a text are those of its parts between spaces and
+    line ends: it normalises characters one by one or by NFC (into which neither enters), drops
+    what its pattern doesn't match, no alternative of the pattern matches white space or looks
+    around, and no added token holds any or reaches over it. Nothing else is believed."""
+    steps = lambda x, many: [y for z in x[many] for y in steps(z, many)] if x and x["type"] == "Sequence" else [x] if x else []
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    plain = all(n["type"] in ("NFC", "Lowercase") or n == spaces for n in steps(spec["normalizer"], "normalizers"))
+    first = (steps(spec["pre_tokenizer"], "pretokenizers") or [{"type": ""}])[0]
+    drops = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]
+    classes = (r"[\p{L}]+", r"\p{L}+", r"[\p{N}]", r"[\p{N}]+", r"[^\s\p{L}\p{N}]+")
+    alone = drops and all(x in classes or re.fullmatch(r"['A-Za-z0-9]+", x) for x in first["pattern"].get("Regex", " ").split("|"))
+    added = all(not (re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+    return plain and bool(alone) and added and not spec["truncation"] and not spec["padding"]
+
+
+def letters_are_words(spec: dict) -> bool:
+    """Whether the file proves moreover that ASCII letters, in lower case, reach the model as one
+    piece and unchanged, and are cut from signs that follow them."""
+    pre, norm = json.dumps(spec["pre_tokenizer"]), json.dumps(spec["normalizer"])
+    parts = spec["pre_tokenizer"].get("pretokenizers", [])
+    bytes_only = [p for p in parts[1:] if p["type"] != "ByteLevel" or p["add_prefix_space"] or p["use_regex"]] == []
+    pattern = parts[0]["pattern"]["Regex"].split("|") if parts and "Regex" in pre else []
+    own = r"[\p{L}]+" in pattern and r"[^\s\p{L}\p{N}]+" in pattern and all(x[0] in "'[" for x in pattern)
+    return white_space_cuts(spec) and len(parts) == 2 and bytes_only and own and "Lowercase" in norm
+
 
-    A space or line end is a safe boundary here: the tokenizer's pattern drops white space
-    and never looks across it. Words that aren't in the memo are encoded together, with
-    a mark between them."""
+class WordEncoder:
+    """Ids of texts by the tokenizers library. Where the file proves that white space cuts
+    (`white_space_cuts`), words of a batch are numbered in Arrow, those that aren't in a bounded memo
+    are encoded together, with a mark between them, and the ids are gathered in Arrow. Words of
+    ASCII letters go to the library's model itself, where that is proven to be the same
+    (`letters_are_words`). Else whole texts are encoded."""
 
-    MARK = "\x01"
+    MARK, TAIL = "\x01", ".,;:!?"
 
-    def __init__(self, file: str, memo_words: int = 800_000, batch_chars: int = 1 << 21):
+    def __init__(self, file: str, memo_words: int = 800_000, batch_bytes: int = 1 << 23):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(file)
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
-        self.memo_words, self.batch_chars = memo_words, batch_chars
+        self.memo_words, self.batch_bytes = memo_words, batch_bytes
+        spec = json.loads(self.model.to_str())
+        self.by_word, self.by_letters, self.bpe = white_space_cuts(spec), letters_are_words(spec), self.model.model
         mark = self.model.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
-    def _learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(missing) > self.memo_words:
-            self.memo.clear()
-            missing = list(words)
-        parts = [missing[i : i + 2048] for i in range(0, len(missing), 2048)]
+    def _ids(self, found) -> bytes:
+        return np.array(found.ids, self.dtype).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        memo, missing = self.memo, []
+        unknown = [w for w in words if w not in memo]
+        if len(memo) + len(unknown) > self.memo_words:
+            memo.clear()
+            unknown = words
+        for w in unknown:
+            core = w.rstrip(self.TAIL)
+            if not (self.by_letters and core.isalpha() and core.isascii()):
+                missing.append(w)
+                continue
+            found, tail = memo.get(low := core.lower()), w[len(core) :]
+            if found is None:
+                found = memo[low] = np.array([t.id for t in self.bpe.tokenize(low)], self.dtype).tobytes()
+            if tail and tail not in memo:
+                memo[tail] = self._ids(self.model.encode(tail, add_special_tokens=False))
+            memo[w] = found + memo[tail] if tail else found
+        parts = [missing[i : i + 512] for i in range(0, len(missing), 512)]
         between = f" {self.MARK} "
         for part, found in zip(parts, self.model.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, self.dtype)
@@ -75,18 +124,28 @@ class WordEncoder:
                 ends = [*(cuts * size).tolist(), len(raw)] if len(part) > 1 else [len(raw)]
                 self.memo.update(zip(part, [raw[s:e] for s, e in zip(starts, ends)]))
             else:
-                self.memo.update((w, np.array(self.model.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()) for w in part)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, of the encoder's dtype."""
-        out = []
-        for part in by_bytes(texts, [len(t) for t in texts], self.batch_chars):
-            words = [t.replace("\n", " ").split(" ") for t in part]
-            self._learn(set(chain.from_iterable(words)))
-            out += [b"".join(map(self.memo.__getitem__, w)) for w in words]
-            if sum(map(len, part)) > 2 * self.batch_chars:
+                self.memo.update((w, self._ids(self.model.encode(w, add_special_tokens=False))) for w in part)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+        """(place of the first text, little-endian ids of each text, of the encoder's dtype), part by
+        part of about batch_bytes. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        at = 0
+        for sizes in by_bytes(sizes := pc.binary_length(texts).to_pylist(), sizes, self.batch_bytes):
+            part, at = texts.slice(at, len(sizes)), at + len(sizes)
+            if not self.by_word:
+                yield at - len(sizes), pa.array([self._ids(x) for x in self.model.encode_batch_fast(part.to_pylist(), add_special_tokens=False)], pa.binary())
+                continue
+            words = pc.split_pattern(pc.replace_substring(part, "\n", " "), " ")
+            flat = words.flatten().dictionary_encode()
+            known = flat.dictionary.to_pylist()
+            self._learn(known)
+            ids = pa.array(map(self.memo.__getitem__, known), pa.large_binary()).take(flat.indices)
+            ends = np.frombuffer(ids.buffers()[1], "<i8", len(ids) + 1) if len(ids) else np.zeros(1, "<i8")
+            cuts = ends[np.asarray(words.offsets) - words.offsets[0].as_py()]
+            yield at - len(sizes), pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.tobytes()), ids.buffers()[2] if len(ids) else pa.py_buffer(b"")])
+            if sum(sizes) > 2 * self.batch_bytes:  # one long text: its words may be long too
                 self.memo.clear()
-        return out
 
 
 @lru_cache(maxsize=2)
@@ -115,60 +174,78 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    def __init__(self, freq: np.ndarray):
-        self.freq = freq.astype(np.uint64)
+    def __init__(self, freq: np.ndarray, checkpoint: int = CHECKPOINT):
+        self.freq, self.checkpoint = freq.astype(np.uint64), checkpoint
         self.first = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
     def encode(self, ids: np.ndarray) -> bytes:
         lanes = min(LANES, max(1, len(ids)))
         x = np.full(lanes, LOW)
-        words, marks = [], {}
+        words, total, marks = [], 0, {}
+        apart = max(1, self.checkpoint // lanes) * lanes
         for at in range((max(0, len(ids) - 1) // lanes) * lanes, -1, -lanes) if len(ids) else ():
             row = ids[at : at + lanes]
             f, y = self.freq[row], x[: len(row)]
             full = y >= f << np.uint64(63 - SCALE)
             words.append((y[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+            total += len(words[-1])
             y = np.where(full, y >> np.uint64(32), y)
-            x[: len(row)] = ((y // f) << np.uint64(SCALE)) + y % f + self.first[row]
-            if at and at % CHECKPOINT == 0:
-                marks[at] = (sum(map(len, words)), x.copy())
-        total = sum(map(len, words))
+            high = y // f
+            x[: len(row)] = (high << np.uint64(SCALE)) + (y - high * f) + self.first[row]
+            if at and at % apart == 0:
+                marks[at] = (total, x.copy())
         head = np.array([lanes, total, len(marks)], "<u4").tobytes() + x.astype("<u8").tobytes()
         for at in sorted(marks):
             after, states = marks[at]
             head += np.array([at, total - after], "<u4").tobytes() + states.astype("<u8").tobytes()
         return head + b"".join(w.tobytes() for w in reversed(words))
 
-    def decode(self, payload: bytes, n: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-        """Ids of a block from `start` (0 or a checkpoint) to `stop`."""
+    @staticmethod
+    def opened(payload: bytes) -> tuple[dict[int, tuple[int, np.ndarray]], np.ndarray]:
+        """(place in the stream and states for each id from which decoding can start, the stream)."""
         lanes, total, n_marks = np.frombuffer(payload, "<u4", 3).tolist()
-        states, at = np.frombuffer(payload, "<u8", lanes, 12).astype(np.uint64), 12 + 8 * lanes
-        pos = 0
+        starts, at = {0: (0, np.frombuffer(payload, "<u8", lanes, 12))}, 12 + 8 * lanes
         for _ in range(n_marks):
             where, word = np.frombuffer(payload, "<u4", 2, at).tolist()
-            if where == start:
-                states, pos = np.frombuffer(payload, "<u8", lanes, at + 8).astype(np.uint64), word
+            starts[where] = (word, np.frombuffer(payload, "<u8", lanes, at + 8))
             at += 8 + 8 * lanes
-        words = np.frombuffer(payload, "<u4", total, at).astype(np.uint64)
-        stop = n if stop is None else stop
-        out = np.empty(stop - start, "<u4")
-        low = np.uint64((1 << SCALE) - 1)
-        x = states.copy()
-        for i in range(start, stop, lanes):
-            m = min(lanes, n - i)
-            y = x[:m]
+        return starts, np.frombuffer(payload, "<u4", total, at)
+
+    def _run(self, starts: list[tuple[int, np.ndarray]], words: np.ndarray, n: int) -> np.ndarray:
+        """The next n ids from each start: all starts advance together, a row of lanes a step."""
+        x = np.stack([states for _, states in starts]).astype(np.uint64)
+        pos = np.array([p for p, _ in starts], np.int64)
+        out = np.empty((len(starts), n), "<u4")
+        low, lanes = np.uint64((1 << SCALE) - 1), x.shape[1]
+        for i in range(0, n, lanes):
+            y = x[:, : n - i]
             slot = y & low
             row = self.symbol[slot]
-            out[i - start : i - start + m] = row[: stop - i]
+            out[:, i : i + lanes] = row
             y = self.freq[row] * (y >> np.uint64(SCALE)) + slot - self.first[row]
-            need = y < LOW
-            k = int(need.sum())
-            y[need] = (y[need] << np.uint64(32)) | words[pos : pos + k]
-            pos += k
-            x[:m] = y
+            at, lane = np.nonzero(y < LOW)
+            taken = np.bincount(at, minlength=len(starts))
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(taken) - taken, taken)
+            y[at, lane] = (y[at, lane] << np.uint64(32)) | words[pos[at] + nth]
+            pos += taken
+            x[:, : n - i] = y
         return out
 
+    def decode(self, payload: bytes, n: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids of a block of n ids, from `start` (0 or a checkpoint) to `stop`."""
+        starts, words = self.opened(payload)
+        stop = n if stop is None else stop
+        marks = [s for s in sorted(starts) if start <= s < stop]
+        if not marks:
+            return np.empty(0, "<u4")
+        size = marks[1] - marks[0] if len(marks) > 1 else stop - start
+        alike = [s for s in marks if s + size <= stop]  # all but the last part
+        out = [*self._run([starts[s] for s in alike], words, size)]
+        if len(alike) < len(marks):
+            out += [*self._run([starts[marks[-1]]], words, stop - marks[-1])]
+        return np.concatenate(out)
+
 
 def token_ids(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """doc_id, tie (hash of the text), ids (binary) of every document."""
@@ -176,9 +253,8 @@ def token_ids(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(tokenizer_file)
         for b in batches:
-            texts = strings(b.column("text"))
-            for i in range(0, len(texts), 1024):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i : i + 1024], b.column("tie")[i : i + 1024], pa.array(encoder.encode(texts[i : i + 1024]), pa.binary())], ["doc_id", "tie", "ids"])
+            for i, ids in encoder.encode(b.column("text")):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, len(ids)), b.column("tie").slice(i, len(ids)), ids.cast(pa.binary())], ["doc_id", "tie", "ids"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     return slim.mapInArrow(run, "doc_id long, tie long, ids binary")
@@ -199,10 +275,10 @@ def id_counts(tokens: DataFrame, tokenizer_file: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-BLOCK_SCHEMA = "part int, block int, n_ids int, crc long, payload binary, doc_ids array<long>, doc_lens array<long>"
+BLOCK_SCHEMA = "part int, block int, n_ids int, crc long, owner int, lead int, payload binary, doc_ids array<long>, doc_lens array<long>"
 
 
-def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int | None = None, part_ids: int = 8_000_000) -> None:
+def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: int | None = None, part_ids: int = 8_000_000, block_ids: int = BLOCK, checkpoint: int = CHECKPOINT) -> None:
     """Encodes whole texts, appends end_id to each, and writes tables/ and blocks/ to path."""
     spark = docs.sparkSession
     tokens = saved(token_ids(docs, tokenizer_file), "token-ids")
@@ -216,15 +292,16 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
     spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, freq long").coalesce(1).write.parquet(f"{path}/tables")
 
     def run(batches):
-        part, coder, dtype = TaskContext.get().partitionId(), Coder(freq), _encoder(tokenizer_file).dtype
+        part, coder, dtype = TaskContext.get().partitionId(), Coder(freq, checkpoint), _encoder(tokenizer_file).dtype
         end = np.array([] if end_id is None else [end_id], dtype).tobytes()
-        full = BLOCK * dtype.itemsize
-        waiting, size, block, doc_ids, doc_lens = [], 0, 0, [], []
+        width, full = dtype.itemsize, block_ids * dtype.itemsize
+        waiting, size, block, doc_ids, doc_lens, owner, lead = [], 0, 0, [], [], 0, 0
 
         def row(raw: bytes):
             ids = np.frombuffer(raw, dtype).astype("<u4")
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": pa.array([len(ids)], pa.int32()), "crc": pa.array([zlib.crc32(ids.tobytes())], pa.int64()),
+                 "owner": pa.array([owner], pa.int32()), "lead": pa.array([min(lead, len(ids))], pa.int32()),
                  "payload": pa.array([coder.encode(ids)], pa.binary()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "doc_lens": pa.array([doc_lens], pa.list_(pa.int64()))}
             )
 
@@ -233,18 +310,20 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, end_id: i
                 raw = ids + end
                 waiting.append(raw)
                 doc_ids.append(doc_id)
-                doc_lens.append(len(raw) // dtype.itemsize)
+                doc_lens.append(len(raw) // width)
                 size += len(raw)
                 while size >= full:
                     raw = b"".join(waiting)
                     yield row(raw[:full])
-                    waiting, size, block, doc_ids, doc_lens = [raw[full:]], size - full, block + 1, [], []
+                    owner = block if doc_ids else owner  # what is left belongs to the last document that began
+                    waiting, size, block, doc_ids, doc_lens, lead = [raw[full:]], size - full, block + 1, [], [], (size - full) // width
         if doc_ids or size:
             yield row(b"".join(waiting))
 
     parts = max(8, int(n.sum()) // part_ids)
     ordered = tokens.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    dropped(tokens)
 
 
 def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
@@ -255,29 +334,43 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> D
     for r in table:
         freq[r.id] = r.freq
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    schema = "doc_id long, part int, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "part int, owner int, block int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
+    kinds = [pa.int32()] * 3 + [pa.int64()] * 4 + [pa.binary()]
 
-    def run(key, batch):
+    def run(batches):
+        """A row for each document that ends where it begins; else one for each block that has
+        some of it, with the ids (no doc_id, start, n_tokens but in the first)."""
         coder = Coder(freq)
-        batch = batch.sort_by("block")
-        raw = []
-        for n, crc, payload in zip(batch["n_ids"].to_pylist(), batch["crc"].to_pylist(), batch["payload"]):
-            raw.append(coder.decode(payload.as_py(), n).tobytes())
-            if zlib.crc32(raw[-1]) != crc:
-                raise ValueError(f"part {key[0].as_py()}: a block's checksum is wrong")
-        raw = memoryview(b"".join(raw))
-        ids, lens = list(chain.from_iterable(batch["doc_ids"].to_pylist())), list(chain.from_iterable(batch["doc_lens"].to_pylist()))
-        starts = np.concatenate([[0], np.cumsum(lens)])[:-1].astype(np.int64).tolist() if lens else []
-        pieces = [raw[4 * s : 4 * (s + n)] for s, n in zip(starts, lens)]
-        columns = [pa.array(ids, pa.int64()), pa.array([key[0].as_py()] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(lens, pa.int64()), pa.array([zlib.crc32(p) for p in pieces], pa.int64())]
-        if keep_ids:
-            columns.append(pa.array([bytes(p) for p in pieces], pa.binary()))
-        return pa.Table.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
-
-    found = blocks.groupBy("part").applyInArrow(run, schema)
-    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("before", before).drop("n")  # a row for each part
-    return found.join(F.broadcast(parts), "part").withColumn("start", F.col("start") + F.col("before")).drop("before", "part")
+        for b in batches:
+            for part, block, n, crc, owner, lead, payload, ids, lens in zip(*[b.column(c).to_pylist() for c in ("part", "block", "n_ids", "crc", "owner", "lead", "payload", "doc_ids", "doc_lens")]):
+                raw = memoryview(coder.decode(payload, n).tobytes())
+                if zlib.crc32(raw) != crc:
+                    raise ValueError(f"part {part}: the checksum of block {block} is wrong")
+                rows = [(part, owner, block, None, None, None, None, raw[: 4 * lead].tobytes())] * (lead > 0)
+                at = lead
+                for doc, size in zip(ids, lens):
+                    piece = raw[4 * at : 4 * (at + size)]
+                    whole = at + size <= n
+                    rows.append((part, block, block, doc, at, size, zlib.crc32(piece) if whole else None, piece.tobytes() if keep_ids or not whole else None))
+                    at += size
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], [x.split()[0] for x in schema.split(", ")])
+
+    def joined(batches):
+        for b in batches:
+            pieces = [b"".join(p["ids"] for p in x) for x in b.column("pieces").to_pylist()]
+            columns = [pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(pieces if keep_ids else [None] * len(pieces), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("block"), b.column("doc_id"), b.column("start"), b.column("n_tokens"), *columns], ["part", "block", "doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+
+    names = ["part", "block", "doc_id", "start", "n_tokens", "ids_crc32", "ids"]
+    found = saved(blocks.mapInArrow(run, schema), "token-documents")
+    split = found.where("ids_crc32 is null").groupBy("part", "owner").agg(F.max("doc_id").alias("doc_id"), F.max("start").alias("start"), F.max("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("block", "ids"))).alias("pieces"))
+    split = split.withColumnRenamed("owner", "block").mapInArrow(joined, "part int, block int, doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    sizes = blocks.groupBy("part", "block").agg(F.sum("n_ids").alias("n"))  # a row for each block
+    in_part = F.coalesce(F.sum("n").over(W.partitionBy("part").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    of_part = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("parts_before"))
+    before = sizes.select("part", "block", in_part.alias("before")).join(of_part, "part")
+    out = found.where("ids_crc32 is not null").select(names).unionByName(split).join(before, ["part", "block"]).withColumn("start", F.col("start") + F.col("before") + F.col("parts_before"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
 def token_file_digest(docs: DataFrame, tokenizer_file: str, end_id: int = 2) -> DataFrame:
