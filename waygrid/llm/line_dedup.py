@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.common import ASCII_SPACE, saved
+from waygrid.llm.common import ASCII_SPACE, dropped, saved, shuffles_end_with_steps
 
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 UPPER = re.compile("[A-Z]")
@@ -138,11 +138,13 @@ def _stream(min_docs: int):
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """__line_doc, __line_text, bitmap of the documents that lose lines: zlib of one bit for
     each line, 1 for those that stay."""
-    rows = line_hashes(docs, min_chars)
+    rows = saved(line_hashes(docs, min_chars), "line-hashes")  # ranges are sampled from them
     ranged = rows.repartitionByRange(F.col("h1"), F.col("h2"), F.col("doc").desc()).sortWithinPartitions("h1", "h2", F.col("doc").desc(), "text")
-    seen = saved(ranged.mapInArrow(*_stream(min_docs)), "line-runs")
+    with shuffles_end_with_steps(docs.sparkSession):
+        seen = saved(ranged.mapInArrow(*_stream(min_docs)), "line-runs")
+    dropped(rows)
     edges = seen.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("most")).where(F.col("docs") >= min_docs)
-    decided = seen.where(F.col("kind") == OPEN).join(F.broadcast(edges), ["h1", "h2"]).where(F.col("doc") < F.col("most"))  # at most two rows a partition
+    decided = seen.where(F.col("kind") == OPEN).join(edges, ["h1", "h2"]).where(F.col("doc") < F.col("most"))  # at most two rows a partition
     columns = ["doc", "text", "n_lines", "lines"]
     gone = seen.where(F.col("kind") == DROP).select(columns).unionByName(decided.select(columns))
     per_doc = gone.groupBy("doc", "text").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_list("lines")).alias("lines"))
