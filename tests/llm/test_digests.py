@@ -182,26 +182,70 @@ def test_byte_bpe(docs, rows, empty):
         assert ids.tolist() == plain.library.encode_ordinary(t) and cut.decode(ids) == t.encode()
 
 
-def test_token_files(spark, docs, rows, empty, monkeypatch):
+def test_token_files(spark, docs, rows, empty, tmp_path):
+    import pyarrow as pa
+    import xxhash
+
     from waygrid.llm import token_files
     from waygrid.llm.common import tokenizer_path
 
     file = tokenizer_path("word_bpe_49k.json")
-    model = token_files.WordEncoder(file).model
-    ordered = sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0))
-    start, want = 0, []
+    encoder = token_files.WordEncoder(file)
+    model = encoder.model
+    assert encoder.by_word and encoder.by_letters
+    tie = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+    ordered = sorted(((i, t) for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])))
+    start, want, whole = 0, [], []
     for i, t in ordered:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        if i is not None:
-            want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        whole.append((i, start, ids.tobytes()))
         start += len(ids)
-    found = token_files.token_file_digest(docs, file)
-    assert sorted(tuple(r) for r in found.where("doc_id is not null").collect()) == want
+    clash = docs.select("*", F.lit(1).alias("ids"), F.lit(2).alias("tie"), F.lit(3).alias("start"))
+    assert got(token_files.token_file_digest(clash, file), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
     assert token_files.token_file_digest(empty, file).count() == 0
-    rng, bits = random.Random(3), ["a", " ", "\n", "<|endoftext|>", "é", "é", "中", "\r", "\t", "Word", " the", "'s", "\x00", "\x01", "\x1c", "́", "Σ", "1", "İ"]
+    # small blocks with checkpoints: documents go on over several blocks
+    token_files.write_token_files(docs, file, f"{tmp_path}/small", 2, part_ids=20_000, block_ids=9_000, checkpoint=2_048)
+    blocks = spark.read.parquet(f"{tmp_path}/small/blocks").collect()
+    assert max(r.n_ids for r in blocks) == 9_000 and any(not r.doc_ids for r in blocks) and any(len(token_files.Coder.opened(r.payload)[0]) > 3 for r in blocks)
+    back = token_files.read_token_files(spark, f"{tmp_path}/small").collect()
+    assert sorted(((r.doc_id, r.start, bytes(r.ids)) for r in back), key=repr) == sorted(whole, key=repr)
+    bad = spark.read.parquet(f"{tmp_path}/small/blocks").withColumn("crc", F.col("crc") + 1)
+    bad.write.parquet(f"{tmp_path}/bad/blocks")
+    spark.read.parquet(f"{tmp_path}/small/tables").write.parquet(f"{tmp_path}/bad/tables")
+    with pytest.raises(Exception, match="checksum"):
+        token_files.read_token_files(spark, f"{tmp_path}/bad").count()
+    rng, bits = random.Random(3), ["a", " ", "\n", "<|endoftext|>", "é", "é", "中", "\r", "\t", "Word", " the", "'s", "\x00", "\x01", "\x1c", "́", "Σ", "1", "İ", ".", ",!", "H", "\u0331", "ﬁ", "K"]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 20))) for _ in range(3000)]
-    small = token_files.WordEncoder(file, memo_words=40, batch_chars=200)
-    assert [np.frombuffer(b, small.dtype).tolist() for b in small.encode(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    exact = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    for change in ({}, {"by_letters": False}, {"by_word": False}):
+        small = token_files.WordEncoder(file, memo_words=40, batch_bytes=200)
+        vars(small).update(change)
+        found = [x for _, part in small.encode(pa.array([None, *texts, ""])) for x in part.to_pylist()]
+        assert [np.frombuffer(b, small.dtype).tolist() for b in found] == [[], *exact, []]
+
+
+def test_what_proves_word_cuts():
+    import copy
+    import json
+
+    import public_tokenizers
+
+    from waygrid.llm.token_files import letters_are_words, white_space_cuts
+
+    spec = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    assert white_space_cuts(spec) and letters_are_words(spec)
+    assert not white_space_cuts(json.load(open(public_tokenizers.path("byte_bpe_50k.json"))))
+    for change in (
+        lambda d: d["added_tokens"][0].update(lstrip=True), lambda d: d["added_tokens"][0].update(content="a b"), lambda d: d["normalizer"]["normalizers"].append({"type": "Strip"}),
+        lambda d: d["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"), lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\s?\p{L}+"),
+    ):
+        other = copy.deepcopy(spec)
+        change(other)
+        assert not white_space_cuts(other) and not letters_are_words(other)
+    other = copy.deepcopy(spec)
+    other["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    assert white_space_cuts(other) and not letters_are_words(other)
 
 
 def test_rans_round_trip():
@@ -212,10 +256,12 @@ def test_rans_round_trip():
     freq = quantised(np.bincount(ids))
     assert freq.sum() == 1 << 20 and (freq[np.unique(ids)] > 0).all()
     coder = Coder(freq)
-    for n in (0, 1, 2047, 2048, 2049, 100_001, len(ids)):
+    for n in (0, 1, 2047, 2048, 2049, 100_001, CHECKPOINT, CHECKPOINT + 1, 2 * CHECKPOINT, len(ids)):
         assert (coder.decode(coder.encode(ids[:n]), n) == ids[:n]).all()
     payload = coder.encode(ids)
-    assert (coder.decode(payload, len(ids), CHECKPOINT, 2 * CHECKPOINT) == ids[CHECKPOINT : 2 * CHECKPOINT]).all()
+    assert sorted(Coder.opened(payload)[0]) == [0, CHECKPOINT, 2 * CHECKPOINT]
+    for a, b in ((CHECKPOINT, 2 * CHECKPOINT), (2 * CHECKPOINT, len(ids)), (CHECKPOINT, CHECKPOINT + 77)):
+        assert (coder.decode(payload, len(ids), a, b) == ids[a:b]).all()
     p = np.bincount(ids) / len(ids)
     entropy = -(p[p > 0] * np.log2(p[p > 0])).sum() / 8
     assert len(payload) < 1.15 * entropy * len(ids)
@@ -250,12 +296,37 @@ def test_passages(docs, rows, empty, monkeypatch):
     want = brute_passages(rows)
     assert got(passage_dedup.dedup_passages(docs), *names) == want
     assert passage_dedup.dedup_passages(empty).count() == 0
+    clash = docs.select("*", F.lit(1).alias("batch"), F.lit(2).alias("payload"), F.lit(3).alias("n_bytes"))
+    kept = passage_dedup.dedup_passages(clash).collect()
+    assert all(r.kept is None if not r.n_removed else hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept) and any(r.n_removed for r in kept)
+    monkeypatch.setattr(passage_dedup, "HOT", 2)  # anchors are split by a second one
+    assert got(passage_dedup.dedup_passages(docs), *names) == want
     monkeypatch.setattr(passage_dedup, "PIECE", 333)
     data = np.frombuffer("".join((t or "") for _, t, _ in rows[:60]).encode(), np.uint8)
     start, n, _ = passage_dedup.runs_of(data, np.array([len(data)]))
     assert n.sum() == len(data) - 49 and (start[1:] == start[:-1] + n[:-1]).all()
 
 
+def test_passages_with_a_hot_anchor(spark, monkeypatch):
+    """One string with ever new surroundings, some of which recur; long texts without a line end."""
+    from waygrid.llm import passage_dedup
+
+    rng, rows = random.Random(12), []
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    common = "the least of all hashes"
+    shared = [noise(40) + common + noise(30) for _ in range(5)]
+    for i in range(120):
+        rows.append((i, noise(rng.randint(0, 90)) + common + noise(rng.randint(0, 90)) + (rng.choice(shared) if i % 3 else "") + noise(20), None))
+    rows.append((500, "a" * 3000 + noise(5000) + shared[0], None))
+    rows.append((501, "a" * 700 + shared[1] + "b" * 200, None))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_passages(rows)
+    for hot in (passage_dedup.HOT, 20):
+        monkeypatch.setattr(passage_dedup, "HOT", hot)
+        assert got(passage_dedup.dedup_passages(docs), *names) == want
+
+
 def test_intervals_are_those_of_sorted_suffixes():
     from waygrid.llm.passage_dedup import STOP, intervals, window_minima
 
@@ -291,6 +362,13 @@ def test_quality(docs, rows, empty):
     assert judge(prose).kept and judge(prose + "\nHome | News | About | Contact").text == prose
     assert not judge("\n".join(f"Home{i} | News{i} | About{i}" for i in range(60))).kept
     assert judge("a\nb\na\n\n\x0b").n_dup_lines == 1
+    for furniture in ("Read more about our privacy policy.", "Alle Rechte vorbehalten.", "Lire la suite et tous droits réservés.", "Leer más sobre la POLÍTICA DE COOKIES.", "Start • Über uns • Kontakt", "Inicio · Noticias · Contacto"):
+        v = judge(prose + "\n" + furniture)
+        assert v.kept and v.text == prose and v.n_lost_lines == 1, furniture
+    # one very long line: a phrase or the words of a language that recur don't lose it
+    long = " ".join(rng.choices([f"word{i}" for i in range(400)], k=9000)) + ". Read more in the terms of use."
+    assert judge(long).kept and judge(long).text == long
+    assert not judge(("buy now " * 40 + "\n") * 3 + ("read more. " * 90)).kept
     kept = clean_documents(docs.withColumn("kept", F.lit(True)).withColumn("n_chars", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "source", "kept", "n_chars"] and kept.where("n_chars != char_length(text)").count() == 0
 
@@ -316,8 +394,11 @@ def test_mix(docs, rows, empty):
         s = sources.setdefault((r.source_size, r.target), [0, 0])
         s[0] += r.taken
         s[1] += r["size"]
+        assert sum(map(int, r.shard_words.split(","))) == r.taken and abs(r.copies - r.taken / max(1, r["size"])) < 1
     for (size, target), (taken, own) in sources.items():
         assert own == size and abs(taken - target) <= 5 and target <= 3 * size
+        mine = [r for r in d if (r.source_size, r.target) == (size, target) and r["size"]]
+        assert abs(sum(r.copies for r in mine) - sum(r.taken / r["size"] for r in mine)) <= 1
     assert sum(t for _, t in sources) == pytest.approx(sum(r["size"] for r in d))
     assert mix_documents(empty).count() == 0 and mixed_documents(empty).count() == 0
     clash = docs.select("*", F.lit(0).alias("size"), F.lit(0).alias("taken"), F.lit(0).alias("copies"), F.lit(0).alias("row"))
@@ -330,6 +411,20 @@ def test_mix(docs, rows, empty):
     assert sum(r.n for r in q) == 14 and max(r.n for r in q) - min(r.n for r in q) <= 1
 
 
+def test_shards_take_their_quotas_of_blocks(spark):
+    from waygrid.llm import source_mix
+
+    plan = spark.createDataFrame([(0, 7, 17, [5, 5, 11, 17]), (1, 9000, 4000, [1000, 1000, 3999, 4000]), (2, 3, 0, [0, 0, 0, 0])], "src int, n_blocks long, take long, ends array<long>")
+    rows = source_mix.chosen_blocks(plan, 10, 3).collect()
+    for src, n_blocks, take, ends in ((0, 7, 17, [5, 5, 11, 17]), (1, 9000, 4000, [1000, 1000, 3999, 4000]), (2, 3, 0, [0, 0, 0, 0])):
+        mine = [r for r in rows if r.src == src]
+        assert [sum(r.shard == k for r in mine) for k in range(4)] == [b - a for a, b in zip([0, *ends], ends)]
+        times = np.bincount([r.block for r in mine], minlength=n_blocks)
+        assert len(times) == n_blocks and times.sum() == take and times.max(initial=0) - times.min() <= 1
+    first = [r.block for r in rows if r.src == 1 and r.shard == 0]
+    assert 3000 < np.mean(first) < 6000  # a seeded draw, not the first ones
+
+
 def test_mix_without_words(spark):
     from waygrid.llm.source_mix import mix_documents
 

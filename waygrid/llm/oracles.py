@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from waygrid.llm.quality_rules import BOILERPLATE
+
 OP10 = r"""
 WITH d AS (
   SELECT doc_id, source, md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || coalesce(text, '')) AS place,
@@ -20,29 +24,33 @@ goal AS (
          CASE WHEN over_cap THEN CAST(cap AS DOUBLE) ELSE weight * CAST(level.left_words AS DOUBLE) / CAST(level.left_weight AS DOUBLE) END AS target
   FROM s4 LEFT JOIN level ON true),
 t AS (SELECT sum(size)::BIGINT AS total, greatest(1, least(4096, sum(size)::BIGINT // 65536)) AS words FROM d),
-seat AS (
+quotient AS (
   SELECT src, row_number() OVER (ORDER BY target / (2 * a + 1) DESC, src) AS nth
   FROM goal, t, range(0, CAST(ceil(target / words) AS BIGINT) + 40) AS r(a) WHERE target > 0),
-won AS (SELECT src, count(*) AS seats FROM seat, t WHERE nth <= total // words GROUP BY src),
-plan0 AS (SELECT goal.*, least(coalesce(seats, 0) * words, cap) AS want FROM goal LEFT JOIN won USING (src) CROSS JOIN t),
-plan AS (SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END AS passes FROM plan0),
+seat AS (SELECT src, (row_number() OVER (ORDER BY src) - 1) % 8 AS shard FROM quotient, t WHERE nth <= total // words),
+turn AS (SELECT src, shard, row_number() OVER (PARTITION BY src ORDER BY shard) - 1 AS nth FROM seat),
 block AS (
-  SELECT src, block, want - passes * source_size AS rest, least(words, source_size - block * words) AS len, md5('mix-1|' || src || '|' || block) AS spot
-  FROM plan, t, range(0, CAST(ceil(source_size / words) AS BIGINT)) AS r(block)),
-chosen AS (
-  SELECT src, block, least(len, rest - coalesce(sum(len) OVER (PARTITION BY src ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS x FROM block),
+  SELECT src, block, count(*) OVER (PARTITION BY src) AS n_blocks, row_number() OVER (PARTITION BY src ORDER BY md5('mix-1|' || src || '|' || block)) - 1 AS spot
+  FROM goal, t, range(0, CAST(ceil(source_size / words) AS BIGINT)) AS r(block)),
+chosen AS (SELECT block.src, block, shard FROM block JOIN turn ON turn.src = block.src AND turn.nth % n_blocks = spot AND turn.nth < 3 * n_blocks),
 placed AS (
-  SELECT d.doc_id, d.place, d.size, plan.src, plan.source_size, plan.target, plan.passes,
-         coalesce(sum(d.size) OVER (PARTITION BY plan.src ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-         row_number() OVER (PARTITION BY plan.src ORDER BY d.place, d.size) AS nth
-  FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
+  SELECT d.doc_id, d.place, d.size, goal.src, goal.source_size, goal.target,
+         coalesce(sum(d.size) OVER (PARTITION BY goal.src ORDER BY d.place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER (PARTITION BY goal.src ORDER BY d.place, d.size) AS nth
+  FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source),
 part AS (
-  SELECT p.src, p.nth, sum(greatest(0, least(before + size, block * words + x) - greatest(before, block * words))) AS part_words
-  FROM placed p CROSS JOIN t JOIN chosen c ON c.src = p.src AND c.x > 0 AND p.size > 0 AND c.block BETWEEN p.before // words AND (p.before + p.size - 1) // words
-  GROUP BY p.src, p.nth)
-SELECT doc_id, place, size, source_size, target, CAST(passes * size + coalesce(part_words, 0) AS BIGINT) AS taken
-FROM placed LEFT JOIN part USING (src, nth)
-"""
+  SELECT p.src, p.nth, c.shard, sum(least(before + size, (block + 1) * words) - greatest(before, block * words))::BIGINT AS part_words
+  FROM placed p CROSS JOIN t JOIN chosen c ON c.src = p.src AND p.size > 0 AND c.block BETWEEN p.before // words AND (p.before + p.size - 1) // words
+  GROUP BY ALL),
+took AS (
+  SELECT src, nth, doc_id, place, size, source_size, target, coalesce(sum(part_words), 0)::BIGINT AS taken,
+         concat_ws(',', SHARD_SUMS) AS shard_words
+  FROM placed LEFT JOIN part USING (src, nth) GROUP BY ALL),
+share AS (SELECT *, CASE WHEN size > 0 THEN taken * 1048576 // size ELSE 0 END AS share FROM took),
+ran AS (SELECT *, sum(share) OVER (PARTITION BY src ORDER BY place, share ROWS UNBOUNDED PRECEDING) + 524288 AS upto FROM share)
+SELECT doc_id, place, size, source_size, target, taken, CAST(upto // 1048576 - (upto - share) // 1048576 AS INTEGER) AS copies, shard_words
+FROM ran
+""".replace("SHARD_SUMS", ", ".join(f"coalesce(sum(part_words) FILTER (shard = {k}), 0)::BIGINT" for k in range(8)))
 
 OP2 = r"""
 WITH l AS (
@@ -56,20 +64,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-#: Phrases of the boilerplate rule, as in quality_rules.
-_PHRASES = (
-    "all rights reserved|cookie policy|cookie settings|accept cookies|accept all cookies|privacy policy|terms of use|terms of service|enable javascript|javascript is disabled|"
-    "javascript is required|subscribe to our|sign up for our|skip to content|skip to main content|lorem ipsum|click here|read more|share this page|share on facebook|share on twitter"
-)
+_PHRASES = "|".join(re.escape(x) for x in BOILERPLATE)
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _SYMBOLS = "len(regexp_replace({0}, '[^#*$%&|<>]', '', 'g'))"
 OP9 = f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
 l0 AS (SELECT rid, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line FROM d),
 l1 AS (SELECT *, {_WORDS.format('line')} AS w FROM l0),
-l2 AS (SELECT *, len(w) AS k, len(list_aggregate(w, 'string_agg', '')) AS chars, len(line) - len(replace(line, '|', '')) AS bars, {_SYMBOLS.format('line')} AS sym, row_number() OVER (PARTITION BY rid, line ORDER BY n) AS nth FROM l1 WHERE len(w) > 0),
-l AS (SELECT *, nth > 1 OR (bars >= 2 AND k <= bars * 4) OR sym * 4 >= k OR (k >= 5 AND line = upper(line) AND line <> lower(line)) OR (k >= 8 AND len(list_distinct(w)) * 3 <= k)
-        OR (k >= 12 AND NOT regexp_matches(line, '[.!?…。！？]')) OR regexp_matches(lower(line), '{_PHRASES}') AS fails FROM l2),
+l2 AS (SELECT *, len(w) AS k, len(list_aggregate(w, 'string_agg', '')) AS chars, len(regexp_replace(line, '[^|•·›→]', '', 'g')) AS bars, {_SYMBOLS.format('line')} AS sym, row_number() OVER (PARTITION BY rid, line ORDER BY n) AS nth FROM l1 WHERE len(w) > 0),
+wins AS (SELECT rid, n, w[i + 1 : i + 64] AS v FROM l1, range(0, len(w), 64) AS z(i) WHERE len(w) > 0),
+bad AS (SELECT rid, n, sum(len(v)) AS bad_words FROM wins WHERE (len(v) >= 8 AND len(list_distinct(v)) * 3 <= len(v)) OR regexp_matches(lower(list_aggregate(v, 'string_agg', ' ')), '{_PHRASES.replace(chr(39), chr(39) * 2)}') GROUP BY rid, n),
+l AS (SELECT *, nth > 1 OR (bars >= 2 AND k <= bars * 4) OR sym * 4 >= k OR (k >= 5 AND line = upper(line) AND line <> lower(line))
+        OR (k >= 12 AND NOT regexp_matches(line, '[.!?…。！？]')) OR coalesce(bad_words, 0) * 2 > k AS fails FROM l2 LEFT JOIN bad USING (rid, n)),
 s AS (SELECT rid, sum(chars) AS word_chars, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0) AS lost, count(*) FILTER (fails) AS n_lost_lines FROM l GROUP BY rid),
 w AS (SELECT rid, {_WORDS.format('text')} AS w FROM d),
 g AS (SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM w, range(1, len(w) - 1) AS z(i)),

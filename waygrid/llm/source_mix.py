@@ -8,14 +8,19 @@
    so that only those last seats are ranked, whatever the size of the corpus. Seats are
    dealt over the shards in turn: an integer quota for each source and shard.
 3. Blocks: a source's documents stand in seeded order, and its words are cut into blocks in
-   that order. A source takes all its words as often as its quota allows, and for the
-   rest its blocks in another seeded order, the last of them in part.
+   that order, the last one shorter. Blocks stand in a seeded order of their own, and each
+   shard takes its quota of them, one shard after the other, again from the first block once
+   all are taken. So a source's taken words are its seats' to within a block for each time.
+4. Copies: whole documents stand in the mix taken / size times. Fractions are rounded along the
+   seeded order with their running sum, so that a source's copies are its quota to within one.
+
+A row a source and shard, and two seats a source, pass one task: for up to some million sources.
 
 Sources may be as skewed as they like: running sums are formed in ranges of the seeded
 order within a source, and joined by sums of the ranges.
 
 Null texts and texts without words have size 0 and take part with 0 words. Null is a
-source of its own, the last one. Equal rows are documents of their own; which of them gets
+source of its own, the last one. A source so small that no seat falls to it is left out. Equal rows are documents of their own; which of them gets
 which share doesn't matter, as they are equal. An empty table gives an empty result. The
 result's columns are new ones, so other names in the input cannot clash.
 """
@@ -34,6 +39,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS, MOST_BLOCK_WORDS, SHARDS, SEED = 65_536, 4096, 8, "mix-1"
 #: Rows of one range of a seeded order, about.
 RANGE_ROWS = 65_536
+#: Fractions of a copy are counted in this many parts.
+UNIT = 1 << 20
 
 
 def doc_key() -> Column:
@@ -104,45 +111,55 @@ def block_words(total: int) -> int:
     return max(1, min(MOST_BLOCK_WORDS, total // BLOCKS))
 
 
+def chosen_blocks(plan: DataFrame, words: int, n_ranges: int) -> DataFrame:
+    """src, block, shard: a row for each time that a shard takes a block. plan: src, n_blocks, take (seats),
+    ends (running sum of the shards' quotas)."""
+    step = 4096  # a source's blocks are made by many tasks
+    coarse = plan.where("take > 0").withColumn("c", F.explode(F.expr(f"sequence(0L, (n_blocks - 1) div {step})")))
+    blocks = coarse.repartition("src", "c").withColumn("block", F.explode(F.expr(f"sequence(c * {step}, least(n_blocks, (c + 1) * {step}) - 1)")))
+    blocks = blocks.select("src", "block", "n_blocks", "take", "ends", F.md5(F.concat_ws("|", F.lit(SEED), "src", "block")).alias("at"), F.lit(1).alias("one"))
+    placed = running_sum(blocks, "src", "at", "one", n_ranges).where("before < take")
+    turns = placed.withColumn("turn", F.explode(F.expr("sequence(0L, (take - 1 - before) div n_blocks)")))
+    nth = F.col("turn") * F.col("n_blocks") + F.col("before")
+    return turns.withColumn("nth_seat", nth).select("src", "block", F.size(F.filter("ends", lambda e: e <= F.col("nth_seat"))).alias("shard"))
+
+
 def mix_documents(docs: DataFrame, max_repeats: int = 3, n_shards: int = SHARDS) -> DataFrame:
-    """doc_id, place, size, source_size, target, taken of every document."""
+    """doc_id, place, size, source_size, target, taken, copies and shard_words (what each shard
+    takes of it, separated by commas) of every document."""
     sizes = saved(sized(docs), "mix-sizes")
     per_source = saved(targets(sizes, max_repeats), "mix-targets")
     n_rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     words = block_words(total)
-    seated = seats(per_source, total // words, total)
-    quotas = shard_quotas(seated, n_shards).groupBy("src").agg(F.sum("quota").alias("quota"))
-    plan = seated.join(quotas, "src").withColumn("want", F.least(F.col("quota") * words, "cap"))
-    plan = plan.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("want") / F.greatest("source_size", F.lit(1)))).otherwise(0))
-    plan = saved(plan.withColumn("rest", F.col("want") - F.col("passes") * F.col("source_size")).select("source", "src", "source_size", "target", "passes", "rest"), "mix-plan")
-
-    # blocks of every source in their own seeded order; a source's blocks are made by many tasks
-    step = 4096
-    coarse = plan.where("rest > 0").withColumn("n", F.ceil(F.col("source_size") / words)).withColumn("c", F.explode(F.expr(f"sequence(0L, (n - 1) div {step})")))
-    blocks = coarse.repartition("src", "c").withColumn("block", F.explode(F.expr(f"sequence(c * {step}, least(n, (c + 1) * {step}) - 1)")))
-    blocks = blocks.select("src", "block", "rest", F.md5(F.concat_ws("|", F.lit(SEED), "src", "block")).alias("at"), F.least(F.lit(words), F.col("source_size") - F.col("block") * words).alias("len"))
-    chosen = running_sum(blocks, "src", "at", "len", max(64, total // words // RANGE_ROWS))
-    chosen = chosen.withColumn("x", F.least("len", F.col("rest") - F.col("before"))).where("x > 0").select("src", "block", "x")
+    seated = saved(seats(per_source, total // words, total), "mix-seats")
+    upto = F.sum("quota").over(W.partitionBy("src").orderBy("shard").rowsBetween(W.unboundedPreceding, 0))
+    ends = shard_quotas(seated, n_shards).withColumn("end", upto).groupBy("src").agg(F.sort_array(F.collect_list(F.struct("shard", "end"))).alias("ends"))
+    plan = seated.join(ends, "src").withColumn("n_blocks", F.ceil(F.col("source_size") / words).cast("long"))
+    plan = plan.select("source", "src", "source_size", "target", "n_blocks", F.least("seats", F.col("n_blocks") * max_repeats).alias("take"), F.transform("ends", lambda x: x["end"]).alias("ends"))
+    plan = saved(plan, "mix-plan")
+    chosen = chosen_blocks(plan, words, max(64, total // words // RANGE_ROWS))
 
     # source is joined null-safe by its number, which is what the running sums go by
     number = plan.select("source", "src").withColumnRenamed("source", "name")
-    numbered = sizes.join(F.broadcast(number), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source") if plan.count() <= 10_000 else sizes.join(number, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    placed = running_sum(numbered, "src", "place", "size", max(64, n_rows // RANGE_ROWS))
+    numbered = sizes.join(number, F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    n_ranges = max(64, n_rows // RANGE_ROWS)
+    placed = running_sum(numbered, "src", "place", "size", n_ranges)
     last = F.floor((F.col("before") + F.col("size") - 1) / words)
     spans = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("before") / words), last))))
-    joined = spans.join(chosen, ["src", "block"], "left")
-    part = F.greatest(F.lit(0), F.least(F.col("before") + F.col("size"), F.col("block") * words + F.coalesce("x", F.lit(0))) - F.greatest("before", F.col("block") * words))
-    summed = joined.groupBy("src", "rng", "nth", "doc_id", "place", "size").agg(F.sum(F.coalesce(part, F.lit(0))).alias("some"))
-    few = plan.select("src", "source_size", "target", "passes")
-    return summed.join(few, "src").select("doc_id", "place", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("some")).cast("long").alias("taken"))
+    part = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * words) - F.greatest("before", F.col("block") * words)
+    of_shard = [F.coalesce(F.sum(F.when(F.col("shard") == k, part)), F.lit(0)).alias(f"s{k}") for k in range(n_shards)]
+    summed = spans.join(chosen, ["src", "block"], "left").groupBy("src", "rng", "nth", "doc_id", "place", "size").agg(*of_shard)
+    summed = summed.withColumn("taken", sum((F.col(f"s{k}") for k in range(n_shards)), F.lit(0).cast("long")))
+    summed = summed.withColumn("shard_words", F.concat_ws(",", *[f"s{k}" for k in range(n_shards)])).select("src", "doc_id", "place", "size", "taken", "shard_words")
+    share = F.when(F.col("size") > 0, F.expr(f"(taken * {UNIT}) div size")).otherwise(F.lit(0))
+    rounded = running_sum(summed.withColumn("share", share), "src", "place", "share", n_ranges)
+    copies = F.expr(f"(before + share + {UNIT // 2}) div {UNIT} - (before + {UNIT // 2}) div {UNIT}").cast("int")
+    return rounded.join(plan.select("src", "source_size", "target"), "src").select("doc_id", "place", "size", "source_size", "target", "taken", copies.alias("copies"), "shard_words")
 
 
 def mixed_documents(docs: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """The mix itself, with the columns of docs: a document stands in it taken / size times,
-    where the fraction is rounded up or down by a seeded draw of that chance."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit("copies|"), "place")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    share = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int")
-    copies = mix_documents(docs, max_repeats).select("place", share.alias("copies"))
+    """The mix itself, with the columns of docs: a document stands in it as often as `copies` says."""
+    copies = mix_documents(docs, max_repeats).select("place", "copies")
     same = copies.withColumn("same", F.row_number().over(W.partitionBy("place").orderBy("copies"))).where("copies > 0")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(doc_key().alias("place"), whole.alias("row"))
