@@ -1,11 +1,4 @@
-"""All-pairs similarity of series, scored relationally.
-
-Series are long tables (entity, idx, one column a feature). A pair of entities meets row by row
-on idx, so a pair's rows end with the shorter series, and everything a pair needs is a sum:
-partial aggregation leaves one row a pair and task before the shuffle. Pairs are pruned before
-series are joined (by duration, or by a cheap profile first), as the pairs grow with the
-product of both sides.
-"""
+"""Similarity of series as expressions and aggregates; all pairs of two sides are in `blocks`."""
 
 from __future__ import annotations
 
@@ -13,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.functions.scalar import cosine
-
 
 def pearson(x: Column, y: Column, least: int = 3) -> Column:
     """|r| of a group; 0 for under `least` rows or a constant side. (corr() fails on constants.)"""
@@ -23,33 +14,11 @@ def pearson(x: Column, y: Column, least: int = 3) -> Column:
     return F.when((F.count(x) < least) | (sx < 1e-8) | (sy < 1e-8) | r.isNull(), 0.0).otherwise(F.abs(r))
 
 
-def candidate_pairs(a: DataFrame, b: DataFrame, low: float = 0.7, high: float = 2.0, least_s: float = 5.0) -> DataFrame:
-    """Pairs of (video_id, video_s) and (track_id, track_s) whose durations fit; a video without a
-    duration fits all. Tracks are cut into duration classes a factor `high / low` wide, and a video
-    meets two neighbouring ones only, so this is an equi-join but for those videos."""
-    step = high / low
-    klass = lambda x: F.floor(F.log(x) / F.log(F.lit(step))).cast("long")
-    t = b.where(F.col("track_s") >= least_s).withColumn("k", klass(F.col("track_s")))
-    known = a.where("video_s > 0").withColumn("k", F.explode(F.sequence(klass(F.col("video_s") * low), klass(F.col("video_s") * high))))
-    fit = known.join(t, "k").where(F.col("track_s").between(F.col("video_s") * low, F.col("video_s") * high)).drop("k")
-    free = a.where("video_s is null or video_s <= 0").crossJoin(t.drop("k"))
-    return fit.unionByName(free)
-
-
-def pair_rows(pairs: DataFrame, left: DataFrame, right: DataFrame, lkey: str, rkey: str, idx: str = "idx") -> DataFrame:
-    """The rows of both series of each pair, by position."""
-    return pairs.join(left, lkey).join(right, [rkey, idx])
-
-
 def correlations(rows: DataFrame, keys: list[str], features: dict[str, tuple[str, str]], least: int = 3) -> DataFrame:
     """|r| of several feature pairs at once: one shuffle."""
     return rows.groupBy(*keys).agg(F.count("*").alias("overlap"), *[pearson(F.col(a), F.col(b), least).alias(name) for name, (a, b) in features.items()])
 
 
-def motion_score(df: DataFrame, *names: str) -> Column:
-    return F.greatest(*names) if len(names) > 1 else F.col(names[0])
-
-
 def most_varied(df: DataFrame, key: str, idx: str, features: list[str]) -> DataFrame:
     """key, idx, signature: the steps of the feature whose steps vary most (the first on ties)."""
     w = W.partitionBy(key).orderBy(idx)
@@ -85,37 +54,6 @@ def robust_profile(profiles: DataFrame) -> DataFrame:
     return d.withColumn("profile", F.transform("profile", lambda x: F.when(F.col("__mad") > 1e-8, F.try_divide(x, F.col("__mad"))).otherwise(x))).drop("__mid", "__mad")
 
 
-def profile_similarity(pairs: DataFrame, a: DataFrame, b: DataFrame, lkey: str, rkey: str) -> DataFrame:
-    left, right = a.withColumnRenamed("profile", "p1"), b.withColumnRenamed("profile", "p2")
-    return pairs.join(left, lkey).join(right, rkey).withColumn("statistical", F.abs(cosine(F.col("p1"), F.col("p2")))).drop("p1", "p2")
-
-
-def two_stage(pairs: DataFrame, group: str, cheap: str, final, k: int) -> DataFrame:
-    """The best 2k of each group by the cheap score are scored by `final`, of which the best k stay."""
-    first = F.row_number().over(W.partitionBy(group).orderBy(F.desc(cheap), "track_id"))
-    short = pairs.withColumn("r", first).where(F.col("r") <= 2 * k).drop("r")
-    scored = final(short)
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), "track_id"))).where(F.col("rank") <= k)
-
-
-def multi_scale(rows: DataFrame, keys: list[str], x: str, y: str, idx: str = "idx", scales=(1, 5, 10, 30)) -> DataFrame:
-    """Mean |r| over every 1st, 5th, 10th and 30th row; scales with under three rows don't count."""
-    d = rows.withColumn("scale", F.explode(F.array(*map(F.lit, scales)))).where(F.pmod(F.col(idx), F.col("scale")) == 0)
-    r = d.groupBy(*keys, "scale").agg(pearson(F.col(x), F.col(y)).alias("r"), F.count("*").alias("n")).where("n >= 3")
-    return r.groupBy(*keys).agg(F.avg("r").alias("multi_scale"))
-
-
-def directional(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Mean of |r| of the cosines and of the sines of two angles in degrees."""
-    f = lambda g, x: g(F.radians(x))
-    return rows.groupBy(*keys).agg(((pearson(f(F.cos, a), f(F.cos, b)) + pearson(f(F.sin, a), f(F.sin, b))) / 2).alias("directional"))
-
-
-def equal_length(rows: DataFrame, keys: list[str], x: str, y: str, n_left: str, n_right: str) -> DataFrame:
-    """|r| where both series are equally long, else 0."""
-    return rows.groupBy(*keys).agg(F.when(F.max(n_left) == F.max(n_right), pearson(F.col(x), F.col(y))).otherwise(0.0).alias("score"))
-
-
 def lagged(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str, most: int = 20, idx: str = "idx", least: int = 3) -> DataFrame:
     """Best |r| over lags of b against a, and its lag (the smallest on ties). Lags go up to a quarter of a's length, and `most`."""
     k = F.least(F.floor(F.count("*").over(W.partitionBy(*keys)) / 4).cast("int"), F.lit(most))

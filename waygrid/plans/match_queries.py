@@ -2,46 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waygrid.config import ENSEMBLE_BASIC
 from waygrid.functions import scalar
-from waygrid.operators import joins, similarity, track
+from waygrid.operators import blocks, joins, similarity, track
 from waygrid.plans import sql as q
 from waygrid.plans.track_queries import features, out
 from waygrid.sources import adapters
 
 
-def _videos(s, d) -> DataFrame:
-    m = adapters.motion(s, d)
-    return m.groupBy("video_id").agg(F.max("t").alias("video_s"))
+def _series(df, key: str, idx: str, span, **values) -> DataFrame:
+    """key, its span in seconds, and an array a value, in the order of idx."""
+    rows = F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), *[F.col(v).cast("double").alias(n) for n, v in values.items()])))
+    return df.groupBy(key).agg(span, rows.alias("r")).select(key, span_name(key), *[F.col("r")[n].alias(n) for n in values])
 
 
-def _tracks(s, d) -> DataFrame:
-    t = adapters.tracks(s, d)
-    return t.groupBy("track_id").agg((F.max("epoch_s") - F.min("epoch_s")).alias("track_s"))
+def span_name(key: str) -> str:
+    return "video_s" if key == "video_id" else "track_s"
+
+
+def _videos(s, d) -> DataFrame:
+    """video_id, video_s, x: the motion series."""
+    return _series(adapters.motion(s, d), "video_id", "idx", F.max("t").alias("video_s"), x="motion_magnitude")
 
 
-def _pairs(s, d) -> DataFrame:
-    return similarity.candidate_pairs(_videos(s, d), _tracks(s, d)).where("video_id != track_id")
+def _tracks(s, d, **values) -> DataFrame:
+    """track_id, track_s and arrays of features."""
+    return _series(features(s, d), "track_id", "pt_idx", (F.max("epoch_s") - F.min("epoch_s")).alias("track_s"), **values)
 
 
-def _rows(s, d) -> DataFrame:
-    f = features(s, d).select("track_id", F.col("pt_idx").alias("idx"), "speed_mph", "accel", "bearing", "elevation", "turn_angle")
-    return similarity.pair_rows(_pairs(s, d), adapters.motion(s, d).select("video_id", "idx", "motion_magnitude"), f, "video_id", "track_id")
+def _spans(s, d) -> tuple[DataFrame, DataFrame]:
+    m, t = adapters.motion(s, d), adapters.tracks(s, d)
+    return m.groupBy("video_id").agg(F.max("t").alias("video_s")), t.groupBy("track_id").agg((F.max("epoch_s") - F.min("epoch_s")).alias("track_s"))
 
 
 def match_top3(s, d):
     """The best three tracks of each recording by motion against speed, graded."""
-    r = similarity.correlations(_rows(s, d), ["video_id", "track_id"], {"score": ("motion_magnitude", "speed_mph")})
-    r = r.withColumn("score", F.round("score", 6) + 0.0)
+
+    def score(a, b, fits):
+        r, _ = blocks.correlation(blocks.matrix(a["x"]), blocks.matrix(b["speed"]))
+        return blocks.picked(blocks.best(r, fits, 3), r)
+
+    r = blocks.scored(_videos(s, d), _tracks(s, d, speed="speed_mph"), "score double", score).withColumn("score", F.round("score", 6) + 0.0)
     best = track.top_k(r, "video_id", 3, F.desc("score"), F.col("track_id"))
     return best.select("video_id", "track_id", "rank", "score", scalar.quality_grade(F.col("score")).alias("quality"))
 
 
 def duration_pairs(s, d):
-    p = _pairs(s, d)
+    def score(a, b, fits):
+        v, t = a["video_s"].to_numpy()[:, None], b["track_s"].to_numpy()[None, :]
+        return blocks.picked(fits, *np.broadcast_arrays(v, t))
+
+    p = blocks.scored(*_spans(s, d), "video_s double, track_s double", score)
     ratio = scalar.duration_ratio(F.col("track_s"), F.col("video_s"))
     p = p.withColumns({"ratio": ratio, "quality": scalar.temporal_quality(ratio), "duration_score": scalar.duration_score(ratio)})
     p = p.withColumn("base", F.pmod(F.col("track_id").cast("int") * 7 + F.col("video_id").cast("int") * 13, F.lit(100)) / 100.0)
@@ -52,23 +67,22 @@ def duration_pairs(s, d):
 def ensemble_match(s, d):
     """Motion, temporal and statistical components, their ensemble, and the best five of each recording.
 
-    temporal correlates the most varied steps of both sides, over six at least. statistical is the cosine
-    of the profiles' common length: a recording has one feature, so of a track's only the first (speed)."""
-    keys = ["video_id", "track_id"]
-    m, f = adapters.motion(s, d).select("video_id", "idx", "motion_magnitude"), features(s, d).withColumn("idx", F.col("pt_idx"))
-    a = similarity.robust_profile(similarity.statistical_profile(m, "video_id", ["motion_magnitude"]))
-    b = similarity.robust_profile(similarity.statistical_profile(f, "track_id", ["speed_mph"]))
-    st = similarity.profile_similarity(_pairs(s, d), a, b, "video_id", "track_id").select(*keys, F.least("statistical", F.lit(1.0)).alias("statistical"))
-    steps = similarity.most_varied(f, "track_id", "idx", ["speed_mph", "accel", "speed_change_rate"]).withColumnRenamed("signature", "y")
-    m = m.join(similarity.most_varied(m, "video_id", "idx", ["motion_magnitude"]).withColumnRenamed("signature", "x"), ["video_id", "idx"], "left")
-    f = f.select("track_id", "idx", "speed_mph", "accel").join(steps, ["track_id", "idx"], "left")
-    rows = similarity.pair_rows(_pairs(s, d), m, f, "video_id", "track_id")
-    both = lambda x: F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col(x))
-    r = lambda x: similarity.pearson(F.col("motion_magnitude"), F.col(x))
-    c = rows.groupBy(*keys).agg(F.greatest(r("speed_mph"), r("accel")).alias("motion"), similarity.pearson(both("x"), both("y"), 6).alias("temporal"))
-    c = c.join(st, keys).withColumns({k: F.round(k, 6) for k in ENSEMBLE_BASIC})
-    score, confidence = scalar.ensemble_score({k: F.col(k) for k in ENSEMBLE_BASIC}, ENSEMBLE_BASIC)
-    c = c.withColumns({"score": F.round(score, 5), "confidence": confidence})
+    motion is the greater correlation with speed and acceleration. temporal correlates the most varied
+    steps of both sides, over six at least. statistical is the cosine of the robustly normalised
+    profiles' common length: a recording has one feature, so of a track's only the first (speed)."""
+
+    def score(a, b, fits):
+        x, speed, accel, rate = blocks.matrix(a["x"]), *[blocks.matrix(b[c]) for c in ("speed", "accel", "rate")]
+        motion = np.maximum(*[np.round(blocks.correlation(x, y)[0], 6) for y in (speed, accel)])
+        temporal = np.round(blocks.correlation(np.diff(x), blocks.most_varied_steps(speed, accel, rate), 6)[0], 6)
+        statistical = np.round(np.minimum(blocks.cosine(blocks.robust_profiles(x), blocks.robust_profiles(speed)), 1.0), 6)
+        total = sum(w * c for w, c in zip(ENSEMBLE_BASIC.values(), (motion, temporal, statistical))) / sum(ENSEMBLE_BASIC.values())
+        return blocks.picked(blocks.best(total, fits, 5, 5), motion, temporal, statistical)
+
+    tracks = _tracks(s, d, speed="speed_mph", accel="accel", rate="speed_change_rate")
+    c = blocks.scored(_videos(s, d), tracks, ", ".join(f"{k} double" for k in ENSEMBLE_BASIC), score)
+    total, confidence = scalar.ensemble_score({k: F.col(k) for k in ENSEMBLE_BASIC}, ENSEMBLE_BASIC)
+    c = c.withColumns({"score": F.round(total, 5), "confidence": confidence})
     best = track.top_k(c, "video_id", 5, F.desc("score"), F.col("track_id"))
     return out(best, "video_id", "track_id", "rank", "motion", "temporal", "statistical", "score", "confidence")
 
@@ -80,10 +94,14 @@ def adaptive_ensemble(s, d):
 
 
 def statistical_similarity(s, d):
-    f = features(s, d)
-    b = similarity.statistical_profile(f, "track_id", ["speed_mph", "elevation"])
-    a = b.withColumnRenamed("track_id", "video_id")
-    p = similarity.profile_similarity(_pairs(s, d), a, b, "video_id", "track_id")
+    profiles = lambda key: similarity.statistical_profile(features(s, d), "track_id", ["speed_mph", "elevation"]).withColumnRenamed("track_id", key)
+    videos, tracks = _spans(s, d)
+
+    def score(a, b, fits):
+        r = blocks.cosine(blocks.matrix(a["profile"]), blocks.matrix(b["profile"]))
+        return blocks.picked(blocks.best(r, fits, 3), r)
+
+    p = blocks.scored(videos.join(profiles("video_id"), "video_id"), tracks.join(profiles("track_id"), "track_id"), "statistical double", score)
     return out(track.top_k(p.withColumn("statistical", F.round("statistical", 6)), "video_id", 3, F.desc("statistical"), F.col("track_id")), "video_id", "track_id", "rank", "statistical")
 
 
@@ -92,12 +110,28 @@ def temporal_signature(s, d):
     return out(similarity.most_varied(f, "track_id", "idx", ["speed_mph", "elevation"]), "track_id", "idx", "signature")
 
 
-def multi_scale(s, d):
-    return out(similarity.multi_scale(_rows(s, d), ["video_id", "track_id"], "motion_magnitude", "speed_mph"), "video_id", "track_id", "multi_scale")
+def multi_scale(s, d, scales=(1, 5, 10, 30)):
+    """Mean |r| over every 1st, 5th, 10th and 30th point; scales with under three points don't count."""
+
+    def score(a, b, fits):
+        x, y = blocks.matrix(a["x"]), blocks.matrix(b["speed"])
+        found = [blocks.correlation(x[:, ::k], y[:, ::k]) for k in scales]
+        counts = sum((n >= 3).astype(int) for _, n in found)
+        mean = sum(np.where(n >= 3, r, 0.0) for r, n in found) / np.maximum(counts, 1)
+        return blocks.picked(fits & (counts > 0), mean)
+
+    return out(blocks.scored(_videos(s, d), _tracks(s, d, speed="speed_mph"), "multi_scale double", score), "video_id", "track_id", "multi_scale")
 
 
 def directional(s, d):
-    return out(similarity.directional(_rows(s, d), ["video_id", "track_id"], "motion_magnitude", "bearing"), "video_id", "track_id", "directional")
+    """Mean of |r| of the cosines and of the sines of two angles in degrees."""
+
+    def score(a, b, fits):
+        x, y = np.radians(blocks.matrix(a["x"])), np.radians(blocks.matrix(b["bearing"]))
+        (c, n), (t, _) = blocks.correlation(np.cos(x), np.cos(y)), blocks.correlation(np.sin(x), np.sin(y))
+        return blocks.picked(fits & (n > 0), (c + t) / 2)
+
+    return out(blocks.scored(_videos(s, d), _tracks(s, d, bearing="bearing"), "directional double", score), "video_id", "track_id", "directional")
 
 
 def _self_pairs(s, d):
@@ -124,16 +158,29 @@ def resampled(s, d):
 
 
 def overlap_match(s, d):
-    r = similarity.correlations(_rows(s, d), ["video_id", "track_id"], {"score": ("motion_magnitude", "speed_mph")}, 3).withColumn("score", F.round("score", 6) + 0.0)
+    """Of a recording's tracks the one with the longest overlap, then the best score."""
+
+    def score(a, b, fits):
+        r, n = blocks.correlation(blocks.matrix(a["x"]), blocks.matrix(b["speed"]))
+        r = np.round(r, 6)
+        return blocks.picked(blocks.best(n + r / 2, fits & (n > 10), 1), n, r)
+
+    r = blocks.scored(_videos(s, d), _tracks(s, d, speed="speed_mph"), "overlap long, score double", score)
     return similarity.best_by_overlap(r, "video_id").select("video_id", "overlap", "score")
 
 
 def vector_cosine_top5(s, d):
-    """All pairs of a stated query set (vec_id divisible by 10) against all vectors."""
-    e = adapters.read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("u"))
-    c = a.join(e, F.col("query_id") != F.col("vec_id")).withColumn("score", F.round(scalar.cosine(F.col("u"), F.col("v")), 6) + 0.0)
-    return track.top_k(c, "query_id", 5, F.desc("score"), F.col("vec_id")).select("query_id", "vec_id", "rank", "score")
+    """A stated query set (vec_id divisible by 100) against all vectors, in blocks."""
+    e = adapters.read(s, d, "embeddings").select(F.col("vec_id").alias("track_id"), F.lit(1.0).alias("track_s"), "embedding")
+    q = adapters.read(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("video_id"), F.lit(0.0).alias("video_s"), "embedding")
+
+    def score(a, b, fits):
+        x, y = blocks.matrix(a["embedding"]), blocks.matrix(b["embedding"])
+        r = (x @ y.T) / np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None, :])
+        return blocks.picked(blocks.best(r, fits, 5), r)
+
+    c = blocks.scored(q, e, "score double", score, least_s=0.0, size=2048).withColumn("score", F.round("score", 6) + 0.0)
+    return track.top_k(c, "video_id", 5, F.desc("score"), F.col("track_id")).select(F.col("video_id").alias("query_id"), F.col("track_id").alias("vec_id"), "rank", "score")
 
 
 # ---- joins
@@ -228,13 +275,19 @@ pairs AS (SELECT * FROM vid, trk WHERE track_s >= 5.0 AND (video_s <= 0 OR track
 ROWS = f"{PAIRS}, rws AS (SELECT p.video_id, p.track_id, mo.idx, mo.motion_magnitude, f.speed_mph, f.accel, f.bearing, f.turn_angle FROM pairs p JOIN mo USING (video_id) JOIN f ON f.track_id = p.track_id AND f.pt_idx = mo.idx)"
 
 
-def _r(x: str, y: str, least: int = 3) -> str:
-    return f"CASE WHEN count(*) < {least} OR stddev_pop({x}) < 1e-8 OR stddev_pop({y}) < 1e-8 THEN 0.0 ELSE abs(covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y}))) END"
+def _r(x: str, y: str, least: int = 3, counted: str = "*") -> str:
+    return f"CASE WHEN count({counted}) < {least} OR stddev_pop({x}) < 1e-8 OR stddev_pop({y}) < 1e-8 THEN 0.0 ELSE abs(covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y}))) END"
+
+
+def _robust(name: str, table: str, key: str, x: str) -> str:
+    """id, i, z: the four figures of a profile, by their median and median absolute deviation."""
+    return f"""{name}0 AS (SELECT {key} AS id, unnest([avg({x}), stddev_pop({x}), median({x}), quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25)]) AS v, unnest([1, 2, 3, 4]) AS i FROM {table} GROUP BY 1),
+      {name}1 AS (SELECT *, v - median(v) OVER (PARTITION BY id) AS c FROM {name}0), {name} AS (SELECT id, i, c / CASE WHEN median(abs(c)) OVER (PARTITION BY id) > 1e-8 THEN median(abs(c)) OVER (PARTITION BY id) ELSE 1 END AS z FROM {name}1)"""
 
 
 QUALITY = "CASE WHEN {0} >= 0.85 THEN 'excellent' WHEN {0} >= 0.70 THEN 'very_good' WHEN {0} >= 0.55 THEN 'good' WHEN {0} >= 0.40 THEN 'fair' WHEN {0} >= 0.25 THEN 'poor' ELSE 'very_poor' END"
 LEVELS = "['very_poor', 'poor', 'fair', 'good', 'very_good', 'excellent']"
-GPS = f"{q.TRACK}, {q.DET}, fr AS (SELECT video_id, det_idx, frame_second + 1 AS second FROM det WHERE det_idx % 2 = 0), gp AS (SELECT track_id AS video_id, hour(ts) AS second, arg_{{0}}(lat, pt_idx) AS lat, arg_{{0}}(lon, pt_idx) AS lon FROM pt GROUP BY 1, 2)"
+GPS = f"{q.TRACK}, {q.DET}, fr AS (SELECT video_id, det_idx, frame_second + 1 AS second FROM det), gp AS (SELECT track_id AS video_id, hour(ts) AS second, arg_{{0}}(lat, pt_idx) AS lat, arg_{{0}}(lon, pt_idx) AS lon FROM pt GROUP BY 1, 2)"
 EV = "ev AS (SELECT CAST(user_id AS VARCHAR) AS uid, epoch_us(ts) / 1e6 AS epoch_s, * FROM events)"
 
 SQL = {
@@ -244,33 +297,42 @@ SQL = {
       c AS (SELECT *, CASE WHEN quality = 'excellent' AND base > 0.6 THEN least(base + duration_score * 0.1, 1.0) ELSE base * CASE quality WHEN 'excellent' THEN 1.0 WHEN 'good' THEN 0.95 WHEN 'fair' THEN 0.85 WHEN 'poor' THEN 0.7 ELSE 0.5 END END AS score FROM b),
       e AS (SELECT *, {LEVELS}[greatest(0, list_position({LEVELS}, {QUALITY.format('score')}) - 1 - CASE quality WHEN 'excellent' THEN 0 WHEN 'good' THEN 0 WHEN 'fair' THEN 1 WHEN 'poor' THEN 2 ELSE 3 END) + 1] AS g FROM c)
       SELECT video_id, track_id, quality, CASE WHEN (ratio < 0.3 OR ratio > 3.0) AND g IN ('very_good', 'excellent') THEN 'poor' ELSE g END AS grade, {q.cols('ratio', 'duration_score', 'score')} FROM e""",
-    "ensemble_match": f"""WITH {ROWS}, c AS (SELECT video_id, track_id, round(greatest({_r('motion_magnitude', 'speed_mph')}, {_r('motion_magnitude', 'accel')}), 6) AS motion, round({_r('motion_magnitude', 'turn_angle')}, 6) AS temporal FROM rws GROUP BY 1, 2),
-      d AS (SELECT *, round(least(greatest((motion * 0.4 + temporal * 0.3) / (0.4 + 0.3), 0.0), 1.0), 5) AS score FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, track_id) AS rank FROM d) SELECT video_id, track_id, rank, {q.cols('motion', 'temporal', 'score')}, 1.0::DOUBLE AS confidence FROM k WHERE rank <= 5""",
+    "ensemble_match": f"""WITH {PAIRS}, {_robust('vr', 'mo', 'video_id', 'motion_magnitude')}, {_robust('tr', 'f', 'track_id', 'speed_mph')},
+      st AS (SELECT p.video_id, p.track_id, least(abs(sum(a.z * b.z)) / sqrt(sum(a.z * a.z) * sum(b.z * b.z)), 1.0) AS statistical FROM pairs p JOIN vr a ON a.id = p.video_id JOIN tr b ON b.id = p.track_id AND b.i = a.i GROUP BY 1, 2),
+      ms AS (SELECT *, motion_magnitude - lag(motion_magnitude) OVER (PARTITION BY video_id ORDER BY idx) AS x FROM mo),
+      f0 AS (SELECT *, speed_mph - {q.lag('speed_mph')} AS s, accel - {q.lag('accel')} AS a, speed_change_rate - {q.lag('speed_change_rate')} AS c FROM f),
+      pk AS (SELECT track_id, var_pop(s) AS vs, var_pop(a) AS va, var_pop(c) AS vc FROM f0 GROUP BY 1),
+      fs AS (SELECT f0.*, CASE greatest(vs, va, vc) WHEN vs THEN s WHEN va THEN a ELSE c END AS y FROM f0 JOIN pk USING (track_id)),
+      rws AS (SELECT p.video_id, p.track_id, ms.motion_magnitude, fs.speed_mph, fs.accel, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM pairs p JOIN ms USING (video_id) JOIN fs ON fs.track_id = p.track_id AND fs.pt_idx = ms.idx),
+      c AS (SELECT video_id, track_id, greatest({_r('motion_magnitude', 'speed_mph')}, {_r('motion_magnitude', 'accel')}) AS motion, {_r('x', 'y', 6, 'x')} AS temporal FROM rws GROUP BY 1, 2),
+      e AS (SELECT video_id, track_id, round(motion, 6) AS motion, round(temporal, 6) AS temporal, round(statistical, 6) AS statistical FROM c JOIN st USING (video_id, track_id)),
+      d AS (SELECT *, round(least(greatest((motion * 0.4 + temporal * 0.3 + statistical * 0.3) / (0.4 + 0.3 + 0.3), 0.0), 1.0), 5) AS score FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, track_id) AS rank FROM d)
+      SELECT video_id, track_id, rank, {q.cols('motion', 'temporal', 'statistical', 'score')}, 1.0::DOUBLE AS confidence FROM k WHERE rank <= 5""",
     "adaptive_ensemble": f"""WITH a AS (SELECT event_id, value, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events)
       SELECT event_id, {q.rounded(score='(k / 100.0 * 1.2 + CASE WHEN k > 20 THEN value / 500 * 1.0 ELSE 0.0 END + CASE WHEN k % 2 <> 0 THEN 0.25 * 0.5 ELSE 0.0 END) / (1.2 + CASE WHEN k > 20 THEN 1.0 ELSE 0.0 END + CASE WHEN k % 2 <> 0 THEN 0.5 ELSE 0.0 END)')} FROM a""",
     "statistical_similarity": f"""WITH {PAIRS}, pr AS (SELECT track_id, [avg(speed_mph), stddev_pop(speed_mph), median(speed_mph), quantile_cont(speed_mph, 0.75) - quantile_cont(speed_mph, 0.25), avg(elevation), stddev_pop(elevation), median(elevation), quantile_cont(elevation, 0.75) - quantile_cont(elevation, 0.25)] AS p FROM f GROUP BY 1),
       c AS (SELECT p.video_id, p.track_id, {q.r('abs(list_cosine_similarity(a.p, b.p))')} AS statistical FROM pairs p JOIN pr a ON a.track_id = p.video_id JOIN pr b ON b.track_id = p.track_id), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY statistical DESC, track_id) AS rank FROM c) SELECT * FROM k WHERE rank <= 3""",
     "temporal_signature": f"""WITH {q.FEATURES}, a AS (SELECT track_id, pt_idx, speed_mph - {q.lag('speed_mph')} AS s, elevation - {q.lag('elevation')} AS e FROM f), v AS (SELECT track_id, var_pop(s) >= var_pop(e) AS pick FROM a WHERE s IS NOT NULL GROUP BY 1)
       SELECT a.track_id, a.pt_idx - 1 AS idx, {q.rounded(signature='CASE WHEN v.pick THEN s ELSE e END')} FROM a JOIN v USING (track_id) WHERE s IS NOT NULL""",
-    "multi_scale": f"WITH {ROWS}, r AS (SELECT video_id, track_id, scale, {_r('motion_magnitude', 'speed_mph')} AS r, count(*) AS n FROM rws, (SELECT unnest([1, 5, 10, 30]) AS scale) WHERE idx % scale = 0 AND video_id < '12' GROUP BY 1, 2, 3) SELECT video_id, track_id, {q.rounded(multi_scale='avg(r)')} FROM r WHERE n >= 3 GROUP BY 1, 2",
-    "directional": f"WITH {ROWS} SELECT video_id, track_id, {q.rounded(directional='(' + _r('cos(radians(motion_magnitude))', 'cos(radians(bearing))') + ' + ' + _r('sin(radians(motion_magnitude))', 'sin(radians(bearing))') + ') / 2')} FROM rws WHERE video_id < '12' GROUP BY 1, 2",
-    "lag_search": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, lag, {_r('a.elevation', 'b.speed_mph')} AS r FROM f a, range(-10, 11) AS z(lag), f b WHERE b.track_id = a.track_id AND b.pt_idx = a.pt_idx + lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, abs(lag), lag) AS n FROM r) SELECT track_id, {q.rounded(score='r')}, lag FROM k WHERE n = 1""",
-    "cross_correlation": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, lag, sum(CAST(a.elevation AS DECIMAL(20,2)) * CAST(round(b.speed_mph, 2) AS DECIMAL(18,2))) AS s FROM f a, range(-20, 21) AS z(lag), f b WHERE b.track_id = a.track_id AND b.pt_idx = a.pt_idx - lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY s DESC, lag) AS n FROM r) SELECT track_id, CAST(s AS DOUBLE) AS peak, lag AS "offset" FROM k WHERE n = 1""",
+    "multi_scale": f"WITH {ROWS}, r AS (SELECT video_id, track_id, scale, {_r('motion_magnitude', 'speed_mph')} AS r, count(*) AS n FROM rws, (SELECT unnest([1, 5, 10, 30]) AS scale) WHERE idx % scale = 0 GROUP BY 1, 2, 3) SELECT video_id, track_id, {q.rounded(multi_scale='avg(r)')} FROM r WHERE n >= 3 GROUP BY 1, 2",
+    "directional": f"WITH {ROWS} SELECT video_id, track_id, {q.rounded(directional='(' + _r('cos(radians(motion_magnitude))', 'cos(radians(bearing))') + ' + ' + _r('sin(radians(motion_magnitude))', 'sin(radians(bearing))') + ') / 2')} FROM rws GROUP BY 1, 2",
+    "lag_search": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, lag, {_r('a.elevation', 'b.speed_mph')} AS r FROM f a, range(-20, 21) AS z(lag), f b WHERE abs(lag) <= a.n // 4 AND b.track_id = a.track_id AND b.pt_idx = a.pt_idx + lag GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, abs(lag), lag) AS n FROM r) SELECT track_id, {q.rounded(score='r')}, lag FROM k WHERE n = 1""",
+    "cross_correlation": f"""WITH {q.FEATURES}, r AS (SELECT a.track_id, a.pt_idx - b.pt_idx AS lag, sum(CAST(a.elevation AS DECIMAL(20,2)) * CAST(round(b.speed_mph, 2) AS DECIMAL(18,2))) AS s FROM f a JOIN f b USING (track_id) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY s DESC, lag) AS n FROM r) SELECT track_id, CAST(s AS DOUBLE) AS peak, lag AS "offset" FROM k WHERE n = 1""",
     "resampled": f"""WITH {q.MOTION}, n AS (SELECT video_id, count(*) AS n FROM mo GROUP BY 1), g AS (SELECT video_id, n, i, least(greatest((i + 0.5::DOUBLE) * n / 64 - 0.5, 0.0), CAST(n - 1 AS DOUBLE)) AS at_p FROM n, range(64) AS z(i)), h AS (SELECT *, CAST(floor(at_p) AS BIGINT) AS lo FROM g)
       SELECT h.video_id, h.i, {q.r('a.motion_magnitude + (b.motion_magnitude - a.motion_magnitude) * (at_p - lo)', 9)} AS motion_magnitude FROM h JOIN mo a ON a.video_id = h.video_id AND a.idx = lo JOIN mo b ON b.video_id = h.video_id AND b.idx = least(lo + 1, n - 1)""",
     "overlap_match": f"WITH {ROWS}, c AS (SELECT video_id, track_id, count(*) AS overlap, {q.r(_r('motion_magnitude', 'speed_mph'))} AS score FROM rws GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY overlap DESC, score DESC) AS n FROM c WHERE overlap > 10) SELECT video_id, overlap, score FROM k WHERE n = 1",
-    "vector_cosine_top5": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, {q.r('list_cosine_similarity(a.v, b.v)')} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) SELECT * FROM k WHERE rank <= 5",
+    "vector_cosine_top5": f"WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT a.vec_id AS query_id, b.vec_id, {q.r('list_cosine_similarity(a.v, b.v)')} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) SELECT * FROM k WHERE rank <= 5",
     "frame_positions": f"WITH {GPS.format('max')} SELECT video_id, det_idx, second, {q.cols('lat', 'lon')} FROM fr LEFT JOIN gp USING (video_id, second)",
     "frame_positions_first": f"WITH {GPS.format('min')} SELECT video_id, det_idx, second, {q.cols('lat', 'lon')} FROM fr JOIN gp USING (video_id, second)",
     "shifted_join": f"WITH {q.TRACK}, {q.MOTION} SELECT track_id, idx AS second, pt_idx, {q.cols('motion_magnitude', 'lat')} FROM mo JOIN pt ON track_id = video_id AND pt_idx = idx + 5",
-    "band_join": f"""WITH {q.TRACK}, l AS (SELECT track_id || ':' || pt_idx AS row_id, lat, lon FROM pt WHERE pt_idx % 7 = 0), r AS (SELECT lat, lon, CAST(track_id AS INTEGER) * 1000 + pt_idx AS ord, epoch_us(ts) AS us FROM pt WHERE pt_idx % 3 = 1)
+    "band_join": f"""WITH {q.TRACK}, l AS (SELECT track_id || ':' || pt_idx AS row_id, lat, lon FROM pt), r AS (SELECT lat, lon, CAST(track_id AS INTEGER) * 1000 + pt_idx AS ord, epoch_us(ts) AS us FROM pt)
       SELECT l.row_id, arg_min(us, ord) AS gpx_us FROM l LEFT JOIN r ON abs(l.lat - r.lat) <= 1e-4 AND abs(l.lon - r.lon) <= 1e-4 GROUP BY 1""",
     "cell_neighbours": f"""WITH {q.TRACK}, a AS (SELECT track_id || ':' || pt_idx AS row_id, CAST(floor(lat / 0.00125) AS BIGINT) AS cx, CAST(floor(lon / 0.00125) AS BIGINT) AS cy FROM pt), c AS (SELECT cx, cy, count(*) AS n FROM a GROUP BY 1, 2)
       SELECT row_id, CAST(sum(c.n) - 1 AS BIGINT) AS neighbours FROM a JOIN c ON c.cx BETWEEN a.cx - 1 AND a.cx + 1 AND c.cy BETWEEN a.cy - 1 AND a.cy + 1 GROUP BY 1""",
     "as_of_join": f"WITH {EV} SELECT l.event_id, {q.rounded(value_asof='r.value')} FROM (SELECT * FROM ev WHERE event_type = 'click') l ASOF LEFT JOIN (SELECT * FROM ev WHERE event_type = 'view') r ON l.uid = r.uid AND l.epoch_s >= r.epoch_s",
     "interpolation": f"""WITH {q.MOTION}, g AS (SELECT video_id, i * max(t) / 49 AS t FROM mo, range(51) AS z(i) GROUP BY video_id, i), a AS (SELECT g.video_id, g.t, m.t AS t0, m.motion_magnitude AS v0 FROM g ASOF LEFT JOIN mo m ON m.video_id = g.video_id AND g.t >= m.t),
       b AS (SELECT a.*, m.t AS t1, m.motion_magnitude AS v1 FROM a ASOF LEFT JOIN mo m ON m.video_id = a.video_id AND a.t < m.t) SELECT video_id, {q.r('t', 3)} AS t, {q.r('CASE WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (t - t0) / (t1 - t0) END', 4)} AS motion_magnitude FROM b""",
-    "filled_seconds": f"""WITH {q.DET}, s AS (SELECT video_id, frame_second AS sec, avg(confidence) AS c FROM det WHERE frame_second % 3 = 0 GROUP BY 1, 2), g AS (SELECT video_id, unnest(range(0, max(sec) + 1)) AS sec FROM s GROUP BY 1),
+    "filled_seconds": f"""WITH {q.DET}, s AS (SELECT video_id, frame_second AS sec, avg(confidence) AS c FROM det GROUP BY 1, 2), g AS (SELECT video_id, unnest(range(0, max(sec) + 1)) AS sec FROM s GROUP BY 1),
       a AS (SELECT g.video_id, g.sec, s.sec AS s0, s.c AS c0 FROM g ASOF LEFT JOIN s ON s.video_id = g.video_id AND g.sec >= s.sec), b AS (SELECT a.*, s.sec AS s1, s.c AS c1 FROM a ASOF LEFT JOIN s ON s.video_id = a.video_id AND a.sec <= s.sec)
       SELECT video_id, CAST(sec AS DOUBLE) AS second, {q.rounded(c='CASE WHEN c0 IS NULL THEN c1 WHEN c1 IS NULL THEN c0 WHEN s0 = s1 THEN c0 ELSE c0 + (c1 - c0) * (sec - s0) / (s1 - s0) END')} FROM b""",
     "event_gaps": f"""WITH {EV}, e AS (SELECT uid, epoch_s, event_id FROM ev WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY uid ORDER BY epoch_s) <= 5), g AS (SELECT e.uid, e.event_id, min(abs(e.epoch_s - v.epoch_s)) AS gap FROM e LEFT JOIN ev v ON v.uid = e.uid AND v.event_type = 'view' GROUP BY 1, 2)

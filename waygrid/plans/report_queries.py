@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from waygrid.functions import geo, scalar
 from waygrid.operators import aggregates, mapdata, ranking, sequence
 from waygrid.plans import sql as q
-from waygrid.plans.match_queries import LEVELS, QUALITY, _pairs
+from waygrid.plans.match_queries import LEVELS, QUALITY, _tracks, _videos
 from waygrid.plans.track_queries import features, out
 from waygrid.sources import adapters, sinks
 from waygrid.streaming import streams
@@ -180,20 +180,12 @@ def text_functions(s, d):
 # ---- sequences
 
 
-def _pair_arrays(s, d):
-    """Both whole series of every candidate pair."""
-    a = sequence.series(adapters.motion(s, d), "video_id", "idx", x="motion_magnitude")
-    b = sequence.series(features(s, d), "track_id", "pt_idx", y="speed_mph")
-    return _pairs(s, d).select("video_id", "track_id").join(a, "video_id").join(b, "track_id")
-
-
 def sequence_scores(s, d):
-    return out(sequence.pair_scores(_pair_arrays(s, d), ["video_id", "track_id"], "x", "y"), "video_id", "track_id", "lag", "dtw", "fft", "phase", "lag_score", "combined")
+    return out(sequence.pair_scores(_videos(s, d), _tracks(s, d, y="speed_mph"), "x", "y"), "video_id", "track_id", "lag", "dtw", "fft", "phase", "lag_score", "combined")
 
 
 def sequence_offsets(s, d):
-    p = _pair_arrays(s, d)
-    return out(sequence.pair_offsets(p, ["video_id", "track_id"], "x", "y"), "video_id", "track_id", "dtw_offset", "score", "offset", "height", "scaled_offset", "scaled_height")
+    return out(sequence.pair_offsets(_videos(s, d), _tracks(s, d, y="speed_mph"), "x", "y"), "video_id", "track_id", "dtw_offset", "score", "offset", "height", "scaled_offset", "scaled_height")
 
 
 def offset_search(s, d):
