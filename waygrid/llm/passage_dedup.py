@@ -271,19 +271,25 @@ def fragments(asked: DataFrame, buckets: int, frag_buckets: int) -> DataFrame:
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
-    """Positions by the `depth` bytes from them on: prefixes of 8 bytes, doubled."""
+    """Positions by the `depth` bytes from them on: ranks of 8 bytes, then of two or three times as
+    many, as long as three ranks fit a word."""
     key, width = words8(data, ">"), 8
+    bits = len(data).bit_length()
+    times = 3 if 3 * bits <= 64 else 2
     while True:
         order = np.argsort(key)  # equal prefixes may stand in any order
         if width >= depth:
             return order
         k = key[order]
-        rank = np.empty(len(data), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        after = np.zeros(len(data), np.int64)
-        after[: max(0, len(data) - width)] = rank[width:] + 1
-        key = (rank * (len(data) + 2) + after).astype(U)
-        width *= 2
+        step = np.ones(len(data), bool)
+        step[1:] = k[1:] != k[:-1]
+        rank = np.empty(len(data), U)
+        rank[order] = np.cumsum(step).astype(U)  # from 1: 0 stands for what lies beyond the end
+        key = rank.copy()
+        for j in range(1, times):
+            key <<= U(bits)
+            key[: max(0, len(data) - j * width)] |= rank[j * width :]
+        width *= times
 
 
 def intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,24 +300,27 @@ def intervals(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     byte come from rows a and b by one step back (the LF mapping's inverse), and share one
     byte more than all rows from a to b do. So the boundaries of length l+1 are those whose
     way back crosses a boundary of length l: values come by increasing length, each set
-    once, and the search ends at `length`. Intervals that begin with STOP aren't extended;
-    as STOP sorts last, they end where the interval before them ends."""
+    once, and the search ends at `length`. Rows that share a STOP aren't extended beyond it:
+    no other row stands between them."""
     order = suffix_order(data, length)
     n = len(order)
     bwt = data[order - 1]  # cyclic: the last byte is STOP
     back = np.argsort(bwt, kind="stable")  # row -> the row of its suffix without its first byte
     head = bwt[back]
+    stops = np.flatnonzero(data == STOP)
+    ahead = (np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(n))[order].astype(np.int32)  # bytes before STOP
     first = np.ones(n, bool)
     first[1:] = head[1:] != head[:-1]
     open_rows = np.flatnonzero(~first & (head != STOP))
-    a, b = back[open_rows - 1], back[open_rows]
-    for _ in range(1, length):
-        seen = np.cumsum(first)
-        cross = seen[b] > seen[a]
-        if not cross.any():
-            break
+    a, b, ahead = back[open_rows - 1], back[open_rows], ahead[open_rows]
+    for l in range(1, length):
+        seen = np.cumsum(first, dtype=np.int32)
+        cross = seen[b] != seen[a]
         first[open_rows[cross]] = True
-        open_rows, a, b = open_rows[~cross], a[~cross], b[~cross]
+        stay = ~cross & (ahead > l)
+        open_rows, a, b, ahead = open_rows[stay], a[stay], b[stay], ahead[stay]
+        if not len(open_rows):
+            break
     return order, first
 
 
