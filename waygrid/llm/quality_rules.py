@@ -2,7 +2,9 @@
 
 Each line of a text is judged on its own: navigation bars, boilerplate, symbol litter,
 shouting, one word over and over, long lines without any sentence end, and lines that
-repeat an earlier line of the text. Failing lines go. A document is rejected if it fails
+repeat an earlier line of the text. Boilerplate phrases and words over and over are
+looked for in windows of `window_words` words; a line fails by them if more than half of its
+words stand in failing windows, so that a long line isn't lost by one phrase. Failing lines go. A document is rejected if it fails
 the base rules (too few words, too many words in repeated 3-word windows) or if the lines
 that go hold more than `max_lost_percent` of its characters in words.
 
@@ -25,10 +27,19 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = re.compile(r"[.!?…。！？]")
+#: Signs between the entries of a navigation line.
+BARS = "|•·›→"
+#: Fixed phrases of page furniture in the corpus's languages: English, German, French, Spanish.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "cookie settings", "accept cookies", "accept all cookies", "privacy policy", "terms of use",
     "terms of service", "enable javascript", "javascript is disabled", "javascript is required", "subscribe to our", "sign up for our",
     "skip to content", "skip to main content", "lorem ipsum", "click here", "read more", "share this page", "share on facebook", "share on twitter",
+    "alle rechte vorbehalten", "cookie-richtlinie", "cookie-einstellungen", "cookies akzeptieren", "datenschutzerklärung", "nutzungsbedingungen",
+    "allgemeine geschäftsbedingungen", "javascript aktivieren", "newsletter abonnieren", "zum inhalt springen", "hier klicken", "klicken sie hier", "weiterlesen", "mehr lesen", "seite teilen", "auf facebook teilen", "auf twitter teilen",
+    "tous droits réservés", "politique de cookies", "paramètres des cookies", "accepter les cookies", "accepter tous les cookies", "politique de confidentialité", "conditions d'utilisation",
+    "conditions générales d'utilisation", "activer javascript", "abonnez-vous à", "aller au contenu", "cliquez ici", "lire la suite", "partager cette page", "partager sur facebook", "partager sur twitter",
+    "todos los derechos reservados", "política de cookies", "configuración de cookies", "aceptar cookies", "aceptar todas las cookies", "política de privacidad", "términos de uso", "condiciones de uso",
+    "activar javascript", "suscríbete a", "saltar al contenido", "ir al contenido", "haz clic aquí", "haga clic aquí", "leer más", "compartir esta página", "compartir en facebook", "compartir en twitter",
 )
 
 
@@ -48,6 +59,7 @@ class Rules:
     monotone_words: int = 8
     monotone_ratio: int = 3  # words for each different word, from which a line is monotone
     unended_words: int = 12
+    window_words: int = 64
 
 
 @dataclass
@@ -63,23 +75,29 @@ class Verdict:
     text: str  # the lines that stay
 
 
+def failing_window(words: list[str], rules: Rules) -> str | None:
+    if len(words) >= rules.monotone_words and len(set(words)) * rules.monotone_ratio <= len(words):
+        return "monotone"
+    low = " ".join(words).lower()
+    return "boilerplate" if any(x in low for x in BOILERPLATE) else None
+
+
 def failing_rule(line: str, words: list[str], rules: Rules) -> str | None:
     """The first rule that a line with words fails, by its own contents."""
-    n, bars = len(words), line.count("|")
+    n, bars = len(words), sum(map(line.count, BARS))
     if bars >= rules.nav_bars and n <= bars * rules.nav_words_per_bar:
         return "navigation"
     if symbols(line) * rules.words_per_symbol >= n:
         return "symbols"
     if n >= rules.shout_words and line == line.upper() != line.lower():
         return "shouting"
-    if n >= rules.monotone_words and len(set(words)) * rules.monotone_ratio <= n:
-        return "monotone"
     if n >= rules.unended_words and not SENTENCE_END.search(line):
         return "punctuation"
-    low = line.lower()
-    if any(x in low for x in BOILERPLATE):
-        return "boilerplate"
-    return None
+    lost: dict[str, int] = {}
+    for i in range(0, n, rules.window_words):
+        if rule := failing_window(part := words[i : i + rules.window_words], rules):
+            lost[rule] = lost.get(rule, 0) + len(part)
+    return max(lost, key=lambda k: lost[k]) if 2 * sum(lost.values()) > n else None
 
 
 def repeated_words(words: list[str]) -> int:
