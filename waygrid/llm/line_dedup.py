@@ -79,6 +79,8 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 DROP, OPEN, SUMMARY = 0, 1, 2
+#: Hashes at the edges of partitions (24 bytes each) up to which their summary is broadcast.
+MOST_EDGES = 100_000
 
 
 def _stream(min_docs: int):
@@ -144,7 +146,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
         seen = saved(ranged.mapInArrow(*_stream(min_docs)), "line-runs")
     dropped(rows)
     edges = seen.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("most")).where(F.col("docs") >= min_docs)
-    decided = seen.where(F.col("kind") == OPEN).join(edges, ["h1", "h2"]).where(F.col("doc") < F.col("most"))  # at most two rows a partition
+    edges = saved(edges, "line-edges")
+    few = edges.limit(MOST_EDGES + 1).count() <= MOST_EDGES
+    decided = seen.where(F.col("kind") == OPEN).join(F.broadcast(edges) if few else edges, ["h1", "h2"]).where(F.col("doc") < F.col("most"))  # at most two rows a partition
     columns = ["doc", "text", "n_lines", "lines"]
     gone = seen.where(F.col("kind") == DROP).select(columns).unionByName(decided.select(columns))
     per_doc = gone.groupBy("doc", "text").agg(F.max("n_lines").alias("n_lines"), F.flatten(F.collect_list("lines")).alias("lines"))
