@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waygrid.llm.common import by_bytes, saved
+from waygrid.llm.common import by_bytes, dropped, saved, utf8_size
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, COMPONENTS, ROWS = 5, 128, 4
@@ -143,7 +143,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             rows: list = []
-            for part in by_bytes(texts, [len(t) for t in texts], 1 << 21):
+            for part in by_bytes(texts, [*map(utf8_size, texts)], 1 << 21):
                 sig = signatures(*bags(part), len(part))
                 rows += [None if np.isinf(x[0]) else h.tobytes() for x, h in zip(sig, short_signatures(sig))]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc"), pa.array(rows, pa.binary())], ["node", "doc", "sig"])
@@ -160,11 +160,11 @@ def _bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             out = {k: [] for k in ("shingles", "counts", "tags", "wide")}
-            for part in by_bytes(texts, [len(t) for t in texts], 1 << 19):
+            for part in by_bytes(texts, [*map(utf8_size, texts)], 1 << 19):
                 doc, sh, c = bags(part)
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
                 tags = short_signatures(signatures(doc, sh, c, len(part))).reshape(len(part), -1, ROWS)
-                tags = mix(mix(tags[:, :, ::2].astype(U) << U(32) | tags[:, :, 1::2]).sum(axis=2)).astype("<u4")
+                tags = mix(mix(tags[:, :, ::2].astype(U) << U(32) | tags[:, :, 1::2]).sum(axis=2)).astype("<u8")
                 wide = short_signatures(signatures(doc, mix(sh + U(1)), c, len(part), WIDE)).astype("<u1")
                 out["tags"] += [x.tobytes() for x in tags]
                 out["wide"] += [x.tobytes() for x in wide]
@@ -230,7 +230,7 @@ def _candidates(opened: DataFrame, sims: DataFrame, bag: DataFrame, similarity:
         asks = np.array(table["asks"])
         node, label = np.array(table["node"].to_pylist(), object), np.array(table["label"].to_pylist(), object)
         away, outside = np.array(table["away"]), np.array(table["out"])
-        tags = np.frombuffer(b"".join(table["tags"].to_pylist()), "<u4").reshape(len(node), -1)
+        tags = np.frombuffer(b"".join(table["tags"].to_pylist()), "<u8").reshape(len(node), -1)
         wide = np.frombuffer(b"".join(table["wide"].to_pylist()), "<u1").reshape(len(node), -1)
         ys = np.flatnonzero(~asks)
         low, high = [], []
@@ -261,8 +261,10 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "seen").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         step = saved(step.join(jump, "new").select("node", F.least("new", "far").alias("new_label"), "label"), "near-labels")
+        dropped(labels)
         labels = step.select("node", F.col("new_label").alias("label"))
         if step.where(F.col("label") != F.col("new_label")).isEmpty():
+            dropped(edges)
             return labels
 
 
@@ -282,10 +284,14 @@ def near_classes(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     for best in (4, None):
         opened = saved(_open(members, labels), "near-open")
         more = saved(_candidates(opened, sims, bag, similarity, best), "near-pairs")
+        dropped(opened)
         if more.isEmpty():
             break
         sims = sims.unionByName(saved(_compared(more, bag), "near-sims"))
+        dropped(labels)
         labels = components(sims.where(F.col("sim") >= similarity))
+    for step in (found, members, bag, sims):
+        dropped(step)
     return labels
 
 
