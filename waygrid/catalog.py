@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from waygrid.plans import match_queries, report_queries, track_queries
+from waygrid.plans import classic_queries, match_queries, report_queries, track_queries
 
-MODULES = (track_queries, match_queries, report_queries)
+MODULES = (track_queries, match_queries, report_queries, classic_queries)
 
 
 def queries() -> dict:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from waygrid.functions import geo
-from waygrid.operators.track import lag, path, whole
+from waygrid.operators.track import lag, whole
 
 
 def track_summary(features: DataFrame) -> DataFrame:
@@ -124,7 +124,3 @@ def travel_direction(det: DataFrame) -> DataFrame:
     dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
     across = F.when(dx > 0, "right").otherwise("left")
     return g.select("video_id", "object_class", dx.alias("dx"), dy.alias("dy"), F.when((dx == 0) & (dy == 0), "still").when(F.abs(dx) >= F.abs(dy), across).when(dy > 0, "toward").otherwise("away").alias("direction"))
-
-
-def growing(df: DataFrame, x: str):
-    return F.sum(x).over(path().rowsBetween(W.unboundedPreceding, 0))

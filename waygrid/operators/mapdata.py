@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from waygrid.functions import geo, scalar
+from waygrid.functions import geo
 
 
 def speed_heat(df: DataFrame, scale: float = 50.0) -> DataFrame:
@@ -34,10 +34,13 @@ def bounds(df: DataFrame) -> DataFrame:
 
 
 def layers(df: DataFrame, value: str, key: str = "layer") -> DataFrame:
-    """The three normalisations of a heat layer."""
-    w = W.partitionBy(key)
-    x = F.col(value)
-    return df.withColumns({"minmax": scalar.minmax(x, w), "inverse": scalar.minmax(x, w, inverse=True), "by_max": scalar.by_max(x, w)})
+    """The three normalisations of a heat layer. Extremes are aggregated and joined, as a few layers
+    may hold all rows."""
+    ends = df.groupBy(F.col(key).alias("__key")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    x, low, high = F.col(value), F.col("__low"), F.col("__high")
+    share = F.when(high > low, (x - low) / (high - low)).otherwise(0.5)
+    joined = df.join(ends, F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumns({"minmax": share, "inverse": 1 - share, "by_max": F.when(high > 0, x / high).otherwise(0.0)}).drop("__key", "__low", "__high")
 
 
 def signal_kind(df: DataFrame, group: str, kind: str) -> DataFrame:
