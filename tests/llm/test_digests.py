@@ -529,6 +529,32 @@ def test_vector_search(spark):
     assert nearest(tiny.limit(0), F.pmod("vec_id", F.lit(20)) == 0).count() == 0
 
 
+def test_vector_ties_go_to_the_smaller_id(spark):
+    from waygrid.llm.vector_search import nearest
+
+    is_query = F.pmod("vec_id", F.lit(20)) == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0], 7, "x") for i in range(45)], "vec_id long, embedding array<double>, rank int, score string")
+    found = {}
+    for r in nearest(same, is_query).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 20, 40):
+        assert [v for _, v in sorted(found[q])] == [i for i in range(45) if i != q][:20]
+
+
+def test_counts_beside_clashing_columns(docs, rows):
+    import public_tokenizers
+
+    from waygrid.llm.byte_bpe import encode_documents
+    from waygrid.llm.common import tokenizer_path
+    from waygrid.llm.token_counts import count_tokens
+
+    clash = docs.select("*", F.lit(-1).alias("n_bytes"), F.lit(-1).alias("n_tokens"), F.lit("x").alias("ids"))
+    sizes = sorted(((i, len((t or "").encode())) for i, t, _ in rows), key=repr)
+    assert got(count_tokens(clash, tokenizer_path("piece_bpe_32k.model")), "doc_id", "n_bytes") == sizes
+    enc = encode_documents(clash, tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert enc.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and enc.where("n_tokens < 0").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from waygrid.llm.common import read_table
