@@ -529,6 +529,20 @@ def test_vector_search(spark):
     assert nearest(tiny.limit(0), F.pmod("vec_id", F.lit(20)) == 0).count() == 0
 
 
+def test_vector_queries_in_blocks(spark, monkeypatch):
+    from waygrid.llm import vector_search
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = F.col("vec_id") % 5 == 0
+    one = sorted(vector_search.nearest(df, asked).collect())
+    monkeypatch.setattr(vector_search, "QUERY_BLOCK", 7)
+    many = sorted(vector_search.nearest(df, asked).collect())
+    assert [r[:3] for r in one] == [r[:3] for r in many] and len(one) == 1200
+    assert [r.score for r in one] == pytest.approx([r.score for r in many], abs=1e-12)
+
+
 def test_vector_ties_go_to_the_smaller_id(spark):
     from waygrid.llm.vector_search import nearest
 

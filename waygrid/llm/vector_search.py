@@ -10,9 +10,10 @@ the tables reaches the wanted recall. r is the distance of the k-th neighbour, a
 measured for `SAMPLE` queries against all vectors (the largest of theirs).
 
 Every vector is indexed in every table. Buckets are cut into chunks of `CHUNK` vectors, so a
-bucket that a third of all vectors fall into is spread. A chunk meets the queries that
-visit it in one matrix product and returns each query's best, k at most; those of all chunks and
-tables are merged by the exact score. Only vectors within REACH times r count here. Queries
+bucket that a third of all vectors fall into is spread, and queries into blocks of about
+`QUERY_BLOCK`, so a task holds one chunk and one block whatever the number of visitors. A chunk
+meets the queries of a block that visit it in one matrix product and returns each query's best, k at
+most; those of all chunks, blocks and tables are merged by the exact score. Only vectors within REACH times r count here. Queries
 that found fewer than k, though there are more vectors, are run against all chunks of one
 table without that bar, which is exact.
 
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window as W
 
 from waygrid.llm.common import saved
 
-SAMPLE, CHUNK, TABLES, SEED = 64, 1024, 2, 5
+SAMPLE, CHUNK, QUERY_BLOCK, TABLES, SEED = 64, 1024, 4096, 2, 5
 #: Chance that a table finds the k-th neighbour; with two tables 0.93 of them are found.
 RECALL = 0.93
 #: How far beyond r a vector may be to count as found.
@@ -201,15 +202,16 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
                     at = np.repeat(np.arange(i, i + len(keys)), [*map(len, keys)])
                     pick = pa.array(at)
                     bar = (norm**2 + (x[at] ** 2).sum(1) - (REACH * radius) ** 2) / 2
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array(np.concatenate(keys)), b.column("vec_id").take(pick), b.column("v").take(pick), pa.array(bar)], ["tab", "bucket", "query_id", "v", "bar"])
+                    yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int32()), pa.array(np.concatenate(keys)), b.column("vec_id").take(pick), pa.array(bar)], ["tab", "bucket", "query_id", "bar"])
 
     rows = vecs.mapInArrow(hashed, "tab int, bucket long, vec_id long, v binary")
     sizes = saved(rows.groupBy("tab", "bucket").agg(F.count("*").alias("n")).select("tab", "bucket", F.ceil(F.col("n") / CHUNK).cast("long").alias("chunks")), "ann-buckets")
     chunked = rows.join(sizes, ["tab", "bucket"]).select("tab", "bucket", F.pmod(F.xxhash64("vec_id"), "chunks").alias("chunk"), "vec_id", "v")
     where = vecs.where(is_query)
-    visits = where.mapInArrow(probed, "tab int, bucket long, query_id long, v binary, bar double").dropDuplicates(["tab", "bucket", "query_id"])
-    keys = ["tab", "bucket", "chunk"]
-    spread = lambda df: df.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(*keys, "query_id", "v", "bar")
+    n_blocks = -(-where.count() // QUERY_BLOCK)
+    visits = where.mapInArrow(probed, "tab int, bucket long, query_id long, bar double").dropDuplicates(["tab", "bucket", "query_id"])
+    visits = saved(visits.join(sizes, ["tab", "bucket"]), "ann-visits")
+    keys = ["tab", "bucket", "chunk", "block"]
 
     def merged(found: DataFrame) -> DataFrame:
         best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -217,16 +219,17 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
         return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     def searched(data: DataFrame, asked: DataFrame) -> DataFrame:
-        return merged(data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(*_meet(k)))
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+        left = data.join(asked.select("tab", "bucket", F.col("block").alias("part")).distinct(), ["tab", "bucket"])
+        right = asked.join(where.select(F.col("vec_id").alias("query_id"), "v"), "query_id").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        return merged(left.groupBy("tab", "bucket", "chunk", "part").cogroup(right.select(*keys, "query_id", "v", "bar").groupBy(*keys)).applyInArrow(*_meet(k)))
 
-    found = saved(searched(chunked, spread(visits.join(sizes, ["tab", "bucket"]))), "ann-found")
+    found = saved(searched(chunked, visits), "ann-found")
     full = found.groupBy("query_id").count().where(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
     short = where.join(full, "vec_id", "left_anti")
     if n > 1 and not short.isEmpty():
-        every = sizes.where("tab = 0")
-        rest = short.select(F.col("vec_id").alias("query_id"), "v", F.lit(float("-inf")).alias("bar"))
-        done = rest.select("query_id")
+        done = short.select(F.col("vec_id").alias("query_id"))
         # each short query visits all buckets of one table: a stated query set against all rows
-        asked = spread(rest.withColumn("tab", F.lit(0)).join(every, "tab"))
+        asked = done.withColumn("bar", F.lit(float("-inf"))).withColumn("tab", F.lit(0)).join(sizes.where("tab = 0"), "tab")
         found = found.join(done, "query_id", "left_anti").unionByName(searched(chunked.where("tab = 0"), asked))
     return found
