@@ -1,11 +1,14 @@
 """What earlier rounds found wrong or too large, against the SQL and brute force."""
 
 import datetime
+import random
 
-import pytest
+from pyspark.sql import functions as F
 
 from compare import assert_same
 from waygrid import catalog
+from waygrid.config import ENSEMBLE_BASIC
+from waygrid.functions import scalar
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -23,3 +26,17 @@ def test_objects_that_stand_still(spark, tmp_path):
     r = [(x.step_px, x.px_bearing) for x in QUERIES["object_motion"](spark, d).orderBy("det_idx").collect()]
     assert r[0] == (0.0, 0.0) and r[1] == r[3] == (0.0, 180.0)
     assert_same(QUERIES["object_motion"](spark, d), SQL["object_motion"], d)
+
+
+def test_ensemble_on_a_half(spark):
+    d = "/root/testdata/sf0.01"  # recording 61 and track 119 score 0.374275
+    assert_same(QUERIES["ensemble_match"](spark, d), SQL["ensemble_match"], d)
+
+
+def test_scores_rounded_as_in_sql(spark):
+    rng = random.Random(8)
+    rows = [tuple(round(rng.random(), 6) for _ in range(3)) for _ in range(4000)] + [(0.161416, 0.047166, 0.985196)]
+    total, _ = scalar.ensemble_score({k: F.col(k) for k in ENSEMBLE_BASIC}, ENSEMBLE_BASIC)
+    df = spark.createDataFrame(rows, "motion double, temporal double, statistical double").select(scalar.half_up(total, 5).alias("score"))
+    values = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in rows)
+    assert_same(df, f"SELECT round((m * 0.4 + t * 0.3 + s * 0.3) / (0.4 + 0.3 + 0.3), 5) AS score FROM (VALUES {values}) z(m, t, s)")

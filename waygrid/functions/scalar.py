@@ -132,6 +132,14 @@ def ensemble_score(scores: dict[str, Column], weights: dict[str, float] = ENSEMB
     return clip(mean, 0.0, 1.0), share
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """A finite number rounded as DuckDB does: the product with a power of ten, halves away from 0.
+    (Spark's round works on the decimals that are printed, which may lie on the other side of a half.)"""
+    y = F.abs(x) * 10.0**digits
+    whole = F.floor(y)
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1).otherwise(0)) / 10.0**digits
+
+
 def adaptive_score(scores: dict[str, Column]) -> Column:
     return weighted_mean(scores, ADAPTIVE, default=0.5)[0]
 

@@ -82,7 +82,7 @@ def ensemble_match(s, d):
     tracks = _tracks(s, d, speed="speed_mph", accel="accel", rate="speed_change_rate")
     c = blocks.scored(_videos(s, d), tracks, ", ".join(f"{k} double" for k in ENSEMBLE_BASIC), score)
     total, confidence = scalar.ensemble_score({k: F.col(k) for k in ENSEMBLE_BASIC}, ENSEMBLE_BASIC)
-    c = c.withColumns({"score": F.round(total, 5), "confidence": confidence})
+    c = c.withColumns({"score": scalar.half_up(total, 5), "confidence": confidence})
     best = track.top_k(c, "video_id", 5, F.desc("score"), F.col("track_id"))
     return out(best, "video_id", "track_id", "rank", "motion", "temporal", "statistical", "score", "confidence")
 
