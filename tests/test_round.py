@@ -9,6 +9,7 @@ from compare import assert_same
 from waygrid import catalog
 from waygrid.config import ENSEMBLE_BASIC
 from waygrid.functions import scalar
+from waygrid.operators import joins
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -40,3 +41,27 @@ def test_scores_rounded_as_in_sql(spark):
     df = spark.createDataFrame(rows, "motion double, temporal double, statistical double").select(scalar.half_up(total, 5).alias("score"))
     values = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in rows)
     assert_same(df, f"SELECT round((m * 0.4 + t * 0.3 + s * 0.3) / (0.4 + 0.3 + 0.3), 5) AS score FROM (VALUES {values}) z(m, t, s)")
+
+
+def test_band_of_crowded_places(spark):
+    """Many rows of one place, places a tolerance apart, none in reach, NULL and NaN: against brute force."""
+    rng, near = random.Random(4), 1e-4
+    spot = lambda: (44.95 + rng.randint(0, 60) * near / 4, -93.3 + rng.randint(0, 60) * near / 4)
+    right = [(*spot(), i * 7919 % 5003) for i in range(400)] + [(44.95, -93.3, 6000 + i) for i in range(300)] + [(None, -93.3, -1), (float("nan"), -93.3, -2)]
+    left = [(f"a{i}", *spot()) for i in range(400)] + [(f"b{i}", 44.95, -93.3) for i in range(300)] + [("far", 50.0, 10.0), ("none", None, -93.3), ("nan", float("nan"), -93.3)]
+    a, b = spark.createDataFrame(left, "row_id string, lat double, lon double"), spark.createDataFrame(right, "lat double, lon double, ord long").withColumn("us", F.col("ord") * 10)
+    plan = joins.band(a, b)
+    found = {r.row_id: r.us for r in plan.collect()}
+    reach = lambda x, y: x is not None and y is not None and abs(x - y) <= near
+    for name, x, y in left:
+        hits = [o for p, q, o in right if reach(x, p) and reach(y, q)]
+        assert found[name] == (min(hits) * 10 if hits else None), name
+    assert len(found) == len(left)
+
+
+def test_band_makes_no_row_a_pair(spark, tmp_path):
+    """9,000 points in reach of each other: 81 million pairs."""
+    d = events(spark, tmp_path, [(u, i, "view", 100 + i % 3 / 10, 5) for u in (1, 2, 3) for i in range(3000)])
+    df = QUERIES["band_join"](spark, d)
+    assert "FlatMapCoGroupsInArrow" in str(df._jdf.queryExecution().executedPlan())  # places meet in tiles, not in a join
+    assert [r["count"] for r in df.groupBy("gpx_us").count().collect()] == [9000]

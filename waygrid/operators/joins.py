@@ -5,6 +5,8 @@ Small sides are broadcast by Spark itself where their measured size allows; noth
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -33,21 +35,59 @@ def shifted(series: DataFrame, track: DataFrame, shift: int, keys: list[str], se
     return series.withColumn(point, F.col(second) + shift).join(track, [*keys, point])
 
 
+def _first_within(left: np.ndarray, right: np.ndarray, order: np.ndarray, tolerance: float) -> np.ndarray:
+    """Of each left point (lat, lon) the place of the right point within the tolerance in both
+    coordinates whose order is least, or -1. Right points lie in cells just wider than the
+    tolerance, by order; a left point follows its own cell and the eight around it, each until the
+    first hit or an order beyond its best."""
+    by = np.argsort(order, kind="stable")
+    low = np.minimum(left.min(0), right.min(0))
+    cells = [np.floor((x - low) / (1.001 * tolerance)).astype(np.int64) + 1 for x in (left, right[by])]
+    wide = max(c[:, 1].max() for c in cells) + 2
+    at = [c[:, 0] * wide + c[:, 1] for c in cells]
+    by_cell = np.argsort(at[1], kind="stable")
+    by, keys = by[by_cell], at[1][by_cell]
+    points, ranks = right[by], order[by]
+    found = np.full(len(left), -1)
+    for step in (0, -1, 1, -wide, wide, -wide - 1, -wide + 1, wide - 1, wide + 1):
+        place, end = (np.searchsorted(keys, at[0] + step, side) for side in ("left", "right"))
+        live = np.flatnonzero(place < end)
+        while len(live):
+            c = place[live]
+            better = (found[live] < 0) | (ranks[c] < ranks[found[live]])
+            live, c = live[better], c[better]
+            hit = (np.abs(left[live] - points[c]) <= tolerance).all(1)
+            found[live[hit]] = c[hit]
+            live = live[~hit]
+            place[live] += 1
+            live = live[place[live] < end[live]]
+    return np.where(found < 0, -1, by[found])
+
+
 def band(left: DataFrame, right: DataFrame, tolerance: float = 1e-4, order: str = "ord", key: str = "row_id") -> DataFrame:
     """Each left row with the first right row within the tolerance in both coordinates, or NULL.
 
-    An equi-join on grid cells: cells are wider than the tolerance, and a right row stands in its
-    own cell and the eight around it."""
-    size = 2 * tolerance
-    cell = lambda x: F.floor(F.col(x) / F.lit(size)).cast("long")
-    around = lambda x: F.explode(F.array(cell(x) - 1, cell(x), cell(x) + 1))
+    Rows of one place are one: of right rows the first counts, and left rows share what their place
+    has found. Places meet in tiles of eight tolerances, right ones also in the tiles that they
+    reach into; no pair of places becomes a row."""
+    size = 8 * tolerance
+    tile = lambda x: F.floor(x / F.lit(size)).cast("long")
+    reach = lambda x: F.explode(F.sequence(tile(F.col(x) - 1.01 * tolerance), tile(F.col(x) + 1.01 * tolerance)))
+    known = lambda d: d.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("lat", "lon")))
     rest = [c for c in right.columns if c not in ("lat", "lon", order)]
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in ("lat", "lon")], F.col(order).alias("r_ord"), F.struct(*rest).alias("r"), around("lat").alias("cx"), F.col("lon"))
-    r = r.select("r_lat", "r_lon", "r_ord", "r", "cx", around("lon").alias("cy"))
-    near = left.select(key, "lat", "lon", cell("lat").alias("cx"), cell("lon").alias("cy")).join(r, ["cx", "cy"])
-    hit = near.where((F.abs(F.col("lat") - F.col("r_lat")) <= tolerance) & (F.abs(F.col("lon") - F.col("r_lon")) <= tolerance))
-    first = hit.groupBy(key).agg(F.min_by("r", "r_ord").alias("r"))
-    return left.join(first, key, "left").select(*left.columns, "r.*")
+    r = known(right).groupBy("lat", "lon").agg(F.min_by(F.struct(order, *rest), order).alias("r")).select("lat", "lon", f"r.{order}", F.struct(*[F.col(f"r.{c}") for c in rest]).alias("r"))
+    r = r.withColumn("cx", reach("lat")).withColumn("cy", reach("lon"))
+    places = known(left).select("lat", "lon").distinct().withColumns({"cx": tile(F.col("lat")), "cy": tile(F.col("lon"))})
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        numbers = lambda t: np.stack([t[c].to_numpy() for c in ("lat", "lon")], 1).astype(float)
+        found = _first_within(numbers(a), numbers(b), b[order].to_numpy(), tolerance) if a.num_rows and b.num_rows else np.full(a.num_rows, -1)
+        a, r = a.filter(pa.array(found >= 0)), b["r"].take(pa.array(found[found >= 0]))
+        return pa.table([a["lat"], a["lon"], r], ["lat", "lon", "r"])
+
+    kinds = dict(left.dtypes) | {"r": dict(r.dtypes)["r"]}
+    first = places.groupBy("cx", "cy").cogroup(r.groupBy("cx", "cy")).applyInArrow(meet, ", ".join(f"{c} {kinds[c]}" for c in ("lat", "lon", "r")))
+    return left.join(first, ["lat", "lon"], "left").select(*left.columns, "r.*")
 
 
 def neighbours(points: DataFrame, size: float, key: str = "row_id") -> DataFrame:
