@@ -3,13 +3,14 @@
 import datetime
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same
 from waygrid import catalog
 from waygrid.config import ENSEMBLE_BASIC
 from waygrid.functions import scalar
-from waygrid.operators import joins
+from waygrid.operators import blocks, joins
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -65,3 +66,37 @@ def test_band_makes_no_row_a_pair(spark, tmp_path):
     df = QUERIES["band_join"](spark, d)
     assert "FlatMapCoGroupsInArrow" in str(df._jdf.queryExecution().executedPlan())  # places meet in tiles, not in a join
     assert [r["count"] for r in df.groupBy("gpx_us").count().collect()] == [9000]
+
+
+@pytest.fixture(scope="module")
+def copied(spark, tmp_path_factory):
+    """Three recordings, five copies of each and one of a fourth; copies have the same points at the same times."""
+    rng, rows = random.Random(9), []
+    for u, n in enumerate((60, 66, 75, 70)):
+        points = [(i + u, "view", round(rng.uniform(1, 300), 2), rng.randint(0, 99)) for i in range(n)]
+        rows += [(10 * c + u, *p) for c in range(5 if u < 3 else 1) for p in points]
+    return events(spark, tmp_path_factory.mktemp("copied"), rows)
+
+
+def test_merged_series(spark):
+    df = spark.createDataFrame([(str(i), 7.0, [1.0, float(i % 2), None]) for i in range(9)], "video_id string, video_s double, x array<double>")
+    found = sorted((r.video_id, r.ids, r.least) for r in blocks.merged(df, "video_id", 2).collect())
+    assert found == [("0", ["0", "2"], "0"), ("1", ["1", "3"], "1"), ("4", ["4", "6"], "0"), ("5", ["5", "7"], "1"), ("8", ["8"], "0")]
+
+
+@pytest.mark.parametrize("name", ["ensemble_match", "cnn_match"])
+def test_copies_match_as_in_sql(spark, copied, name, monkeypatch):
+    monkeypatch.setattr(blocks, "MERGE", 2)
+    df = QUERIES[name](spark, copied)
+    assert "video_ids" in df._jdf.queryExecution().toString()  # copies are scored once
+    assert_same(df, SQL[name], copied)
+
+
+def test_tiles_of_a_block(spark, monkeypatch):
+    """29 videos and 40 tracks in one block of tiles of 8: every pair once."""
+    monkeypatch.setattr(blocks, "BLOCKS", 1)
+    v = spark.createDataFrame([(str(i), 10.0, float(i)) for i in range(29)], "video_id string, video_s double, x double")
+    t = spark.createDataFrame([(str(i), 10.0, float(i)) for i in range(40)], "track_id string, track_s double, y double")
+    product = lambda a, b, fits: blocks.picked(fits, a["x"].to_numpy()[:, None] * b["y"].to_numpy()[None, :])
+    found = {(r.video_id, r.track_id): r.z for r in blocks.scored(v, t, "z double", product, size=8).collect()}
+    assert found == {(str(i), str(j)): float(i * j) for i in range(29) for j in range(40) if i != j}
