@@ -3,13 +3,14 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from compare import assert_same
 from waygrid import catalog
 from waygrid.config import ENSEMBLE_BASIC
-from waygrid.functions import scalar
+from waygrid.functions import arrays, scalar
 from waygrid.operators import blocks, joins
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -100,3 +101,31 @@ def test_tiles_of_a_block(spark, monkeypatch):
     product = lambda a, b, fits: blocks.picked(fits, a["x"].to_numpy()[:, None] * b["y"].to_numpy()[None, :])
     found = {(r.video_id, r.track_id): r.z for r in blocks.scored(v, t, "z double", product, size=8).collect()}
     assert found == {(str(i), str(j)): float(i * j) for i in range(29) for j in range(40) if i != j}
+
+
+def _scan_one_by_one(offsets, vt, v, gt, g, grid, overlap, points, damp):
+    best, best_r = None, 0.0
+    for offset in offsets:
+        first, last = max(vt[0], gt[0] + offset), min(vt[-1], gt[-1] + offset)
+        t = np.arange(first, last, grid)
+        if last - first < overlap or len(t) < points:
+            continue
+        r = arrays.pearson(np.interp(t, vt, v), np.interp(t, gt + offset, g))
+        r *= damp if arrays.p_value(r, len(t)) > 0.05 else 1
+        if abs(r) > abs(best_r):
+            best, best_r = float(offset), r
+    return best, best_r
+
+
+@pytest.mark.parametrize("n,m,shift", [(66, 66, 3.0), (70, 40, -7.5), (30, 90, 12.0), (12, 12, 0.0), (9, 5, 0.0)])
+def test_scan_of_all_offsets_at_once(n, m, shift, monkeypatch):
+    rng = np.random.default_rng(n)
+    vt, gt = np.cumsum(rng.uniform(0.5, 1.5, n)), np.arange(m) - shift
+    v = rng.normal(size=n)
+    g = np.interp(gt + shift, vt, v) + 0.2 * rng.normal(size=m)
+    g[: m // 2] = g[0] if n == 30 else g[: m // 2]  # constant over many an overlap
+    expected = _scan_one_by_one(np.arange(-1200, 1201) * 0.05, vt, v, gt, g, 0.2, 8.0, 20, 0.5)
+    calls, interp = [], np.interp
+    monkeypatch.setattr(np, "interp", lambda *a: calls.append(1) or interp(*a))
+    found = arrays._scan(np.arange(-1200, 1201) * 0.05, vt, v, gt, g, 0.2, 8.0, 20, 0.5)
+    assert found[0] == expected[0] and found[1] == pytest.approx(expected[1], abs=1e-9) and len(calls) < 50
