@@ -129,3 +129,18 @@ def test_scan_of_all_offsets_at_once(n, m, shift, monkeypatch):
     monkeypatch.setattr(np, "interp", lambda *a: calls.append(1) or interp(*a))
     found = arrays._scan(np.arange(-1200, 1201) * 0.05, vt, v, gt, g, 0.2, 8.0, 20, 0.5)
     assert found[0] == expected[0] and found[1] == pytest.approx(expected[1], abs=1e-9) and len(calls) < 50
+
+
+@pytest.mark.parametrize("name", ["sequence_scores", "sequence_offsets", "flow_match"])
+def test_copies_score_alike(spark, copied, name, monkeypatch):
+    """Merged series give the rows that series on their own give."""
+    columns = QUERIES[name](spark, copied).columns
+    monkeypatch.setattr(blocks, "MERGE", 2)
+    merged = QUERIES[name](spark, copied)
+    assert "video_ids" in merged._jdf.queryExecution().toString()
+    monkeypatch.setattr(blocks, "merged", lambda df, key, most: df.withColumn("ids", F.array(key)).withColumn("least", F.col(key)))
+    alone = QUERIES[name](spark, copied)
+    rows = [sorted(x.select(*columns).collect()) for x in (merged, alone)]
+    assert len(rows[0]) == len(rows[1]) == (16 * 15 if name != "flow_match" else 16 * 3)
+    for a, b in zip(*rows):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=2e-6)
