@@ -144,3 +144,10 @@ def test_copies_score_alike(spark, copied, name, monkeypatch):
     assert len(rows[0]) == len(rows[1]) == (16 * 15 if name != "flow_match" else 16 * 3)
     for a, b in zip(*rows):
         assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=2e-6)
+
+
+def test_objects_that_go_straight_up(spark, tmp_path):
+    """Steps whose dx is what rounding leaves of 0: bearings a hair short of 360."""
+    d = events(spark, tmp_path, [(1, 0, "view", 29.26, 45), (1, 1, "view", 39.76, 24), (2, 0, "view", 34.68, 31), (2, 1, "view", 46.18, 8)])
+    assert_same(QUERIES["object_motion"](spark, d), SQL["object_motion"], d)
+    assert {r.px_bearing for r in QUERIES["object_motion"](spark, d).collect()} == {0.0}

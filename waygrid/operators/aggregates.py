@@ -109,14 +109,15 @@ def keyed_summary(det: DataFrame) -> DataFrame:
 
 def object_motion(det: DataFrame) -> DataFrame:
     """Step in pixels, pixel bearing, and speed by a reference speed of 1 for 100 px. A step of no
-    length has a bearing of 180, atan2(0, -0), which Spark's atan2 doesn't tell from atan2(0, 0)."""
+    length has a bearing of 180, atan2(0, -0), which Spark's atan2 doesn't tell from atan2(0, 0). What
+    is short of 360 by less than the digits hold is 0."""
     w = W.partitionBy("video_id", "object_class").orderBy("det_idx")
     cx, cy = geo.centroid(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
     d = det.withColumns({"cx": cx, "cy": cy})
     d = d.withColumns({"dx": F.col("cx") - F.lag("cx").over(w), "dy": F.col("cy") - F.lag("cy").over(w)})
     px = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
     angle = F.when((F.col("dx") == 0) & (F.col("dy") == 0), 180.0).otherwise(F.degrees(F.atan2("dx", -F.col("dy"))))
-    return d.select("video_id", "object_class", "det_idx", F.coalesce(px, F.lit(0.0)).alias("step_px"), F.coalesce(F.pmod(angle + 360, F.lit(360.0)), F.lit(0.0)).alias("px_bearing"), F.coalesce(px / 100, F.lit(0.0)).alias("ref_speed"))
+    return d.select("video_id", "object_class", "det_idx", F.coalesce(px, F.lit(0.0)).alias("step_px"), F.coalesce(((angle + 360) % 360 + 360) % 360, F.lit(0.0)).alias("px_bearing"), F.coalesce(px / 100, F.lit(0.0)).alias("ref_speed"))
 
 
 def travel_direction(det: DataFrame) -> DataFrame:
