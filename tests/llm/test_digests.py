@@ -344,6 +344,42 @@ def test_intervals_are_those_of_sorted_suffixes():
     assert a.tolist() == [3] * 11 and b.tolist() == [3] * 11
 
 
+def test_only_texts_that_may_share_a_window_are_transformed(monkeypatch):
+    """Texts around one 16-byte string, most of which share no window with another."""
+    import pyarrow as pa
+
+    from waygrid.llm import passage_dedup
+
+    rng = random.Random(31)
+    noise = lambda n: bytes(rng.choices(b"abcdefghijklmnop ", k=n))
+    part = noise(50)
+    texts = [noise(rng.randint(50, 90)) for _ in range(40)] + [noise(9) + part, part + noise(70), part, b"a" * 51]
+    windows = [{t[i : i + 50] for i in range(len(t) - 49)} for t in texts]
+    want = [any(a & b for k, b in enumerate(windows) if k != j) or len(a) < len(texts[j]) - 49 for j, a in enumerate(windows)]
+    assert passage_dedup.may_share(texts).tolist() == want and sum(want) == 4
+
+    seen = []  # the pieces of a bucket meet here, by one key
+    rows = [(1, b"".join(texts), np.array([*map(len, texts)], np.int32).tobytes(), np.ones(len(texts), "<u4").tobytes(), np.arange(100, 100 + len(texts)).tobytes()), (2, texts[0] + part, np.array([len(texts[0]), 50], np.int32).tobytes(), np.ones(2, "<u4").tobytes(), np.array([7, 300]).tobytes())]
+    minima = passage_dedup.window_minima
+    monkeypatch.setattr(passage_dedup, "window_minima", lambda t, low: seen.extend(t) or minima(t, low))
+    frags = pa.table({"bucket": pa.array([0, 0], pa.int32()), "batch": [r[0] for r in rows], "payload": pa.array([passage_dedup.zstandard.compress(r[1]) for r in rows], pa.binary()), "lens": pa.array([r[2] for r in rows], pa.binary()), "keys": pa.array([r[3] for r in rows], pa.binary()), "ids": pa.array([r[4] for r in rows], pa.binary())})
+    found = passage_dedup.meet_in_bucket((0,), frags).to_pydict()
+    assert sorted(seen) == sorted(texts[-4:])
+    first = {}
+    for _, raw, lens, _, ids in rows:
+        at = 0
+        for n, d in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(ids, np.int64).tolist()):
+            for i in range(at, at + n - 49):
+                first[raw[i : i + 50]] = min(first.get(raw[i : i + 50], d), d)
+            at += n
+    for (_, raw, lens, _, ids), n, mask in zip(rows, found["n"], found["mask"]):
+        gone, at = [], 0
+        for size, d in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(ids, np.int64).tolist()):
+            gone += [first[raw[i : i + 50]] < d for i in range(at, at + size - 49)]
+            at += size
+        assert np.unpackbits(np.frombuffer(mask, np.uint8), count=n).astype(bool).tolist() == gone and any(gone)
+
+
 def test_quality(docs, rows, empty):
     from waygrid.llm.quality_rules import clean_documents, judge, quality_digest, repeated_words
 

@@ -13,8 +13,9 @@ equal windows meet. Consecutive windows with one anchor travel as one fragment.
     for a batch, with its least doc_id. An anchor with more than `HOT` fragments is split
     by a second anchor of each window, taken by another hash.
  4. In a bucket, equal fragments are one text (bytes are compared). Where an anchor has one
-    text only, as inside copied passages, its least doc_id decides all its windows. The
-    others form one text with a Burrows-Wheeler transform. Breadth-first backward extension
+    text only, as inside copied passages, its least doc_id decides all its windows, as it does
+    where no hash of a window occurs twice. The others form one text with a Burrows-Wheeler
+    transform. Breadth-first backward extension
     finds, for lengths 0, 1, 2, ..., where neighbouring suffixes stop agreeing, and ends at
     LENGTH: suffixes without a boundary between them share LENGTH bytes. Each such
     interval's least doc_id decides its windows.
@@ -43,7 +44,7 @@ from waygrid.llm.common import saved, shuffles_end_with_steps
 LENGTH, GRAM = 50, 16
 BATCH, PIECE = 1 << 23, 1 << 20
 #: Bytes of text for each bucket of tags, and of fragments.
-TAG_BUCKET, FRAG_BUCKET = 1 << 27, 1 << 21
+TAG_BUCKET, FRAG_BUCKET = 1 << 27, 1 << 22
 #: Fragments of an anchor (those of a batch count up to 127) beyond which it is split.
 HOT = 8192
 LEAST = -(1 << 63)
@@ -337,37 +338,58 @@ def window_minima(texts: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     return [at[s : s + n - LENGTH + 1] for s, n in zip(start.tolist(), lens.tolist())]
 
 
+def may_share(texts: list[bytes]) -> np.ndarray:
+    """Whether a window of each text has its hash a second time, in it or in another: the others
+    share no window."""
+    data = np.frombuffer(bytes([STOP]).join(texts) + bytes([STOP]), np.uint8)
+    h = words8(data, "<")
+    for step in (8, 16, 18):  # of 8, 16, 32, and at last LENGTH = 32 + 18 bytes
+        h = mix(h[:-step] * U(0x9E3779B97F4A7C15) + h[step:])
+    windows = np.array([len(t) for t in texts], np.int64) - LENGTH + 1
+    at = np.cumsum(windows) - windows  # in data, texts begin LENGTH further apart
+    h = h[np.arange(int(windows.sum())) + np.repeat(np.arange(len(texts)) * LENGTH, windows)]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    return np.logical_or.reduceat(twice, at)
+
+
+def meet_in_bucket(key, table):
+    """batch, bucket, n, mask of the pieces that meet in a bucket."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    lens, keys, ids = [[np.frombuffer(x, kind) for x in table[c].to_pylist()] for c, kind in (("lens", np.int32), ("keys", "<u4"), ("ids", np.int64))]
+    row = np.cumsum([0, *map(len, lens)])  # where the pieces of each row begin
+    size, keys, ids = np.concatenate(lens).astype(np.int64), np.concatenate(keys), np.concatenate(ids)
+    data, ends = b"".join(map(open_, table["payload"].to_pylist())), np.cumsum(size)
+    number: dict[bytes, int] = {}
+    no = np.fromiter((number.setdefault(data[s:e], len(number)) for s, e in zip((ends - size).tolist(), ends.tolist())), np.int64, len(size))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, no, ids)
+    anchor = np.empty(len(number), keys.dtype)
+    anchor[no] = keys  # equal bytes have one anchor
+    _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
+    mixed, texts = np.flatnonzero(times[group] > 1), [*number]
+    if len(mixed):
+        mixed = mixed[may_share([texts[t] for t in mixed.tolist()])]
+    windows = size - LENGTH + 1
+    gone = np.repeat(least[no] < ids, windows)  # one answer for all windows of a text
+    if len(mixed):
+        low = window_minima([texts[t] for t in mixed.tolist()], least[mixed])
+        begin = np.full(len(number), -1)
+        begin[mixed] = np.cumsum([0, *map(len, low[:-1])])
+        piece = np.flatnonzero(begin[no] >= 0)
+        n = windows[piece]
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        gone[np.repeat((np.cumsum(windows) - windows)[piece], n) + offset] = np.concatenate(low)[np.repeat(begin[no[piece]], n) + offset] < np.repeat(ids[piece], n)
+    cut = np.append(0, np.cumsum(windows))[row]
+    masks = [np.packbits(gone[lo:hi]).tobytes() for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    return pa.Table.from_pydict({"batch": table["batch"], "bucket": table["bucket"], "n": pa.array(np.diff(cut), pa.int64()), "mask": pa.array(masks, pa.binary())})
+
+
 def removed_windows(frags: DataFrame) -> DataFrame:
     """batch, masks: for each fragment bucket, bitmaps of the windows that a smaller document has."""
-
-    def meet(key, table):
-        open_ = zstandard.ZstdDecompressor().decompress
-        number: dict[bytes, int] = {}
-        least: list[int] = []
-        anchor: list[int] = []
-        sent = []
-        for payload, lens, keys, ids in zip(*[table[c].to_pylist() for c in ("payload", "lens", "keys", "ids")]):
-            raw, at, mine = open_(payload), 0, []
-            for n, k, d in zip(np.frombuffer(lens, np.int32).tolist(), np.frombuffer(keys, "<u4").tolist(), np.frombuffer(ids, np.int64).tolist()):
-                no = number.setdefault(raw[at : at + n], len(least))
-                if no == len(least):
-                    least.append(d)
-                    anchor.append(k)
-                elif d < least[no]:
-                    least[no] = d
-                mine.append((no, d))
-                at += n
-            sent.append(mine)
-        texts, low = [*number], [np.array([d]) for d in least]  # one number for all windows of a text
-        _, group, times = np.unique(anchor, return_inverse=True, return_counts=True)
-        mixed = np.flatnonzero(times[group] > 1)
-        if len(mixed):
-            for no, found in zip(mixed.tolist(), window_minima([texts[no] for no in mixed], np.array(least, np.int64)[mixed])):
-                low[no] = found
-        masks = [np.concatenate([np.broadcast_to(low[no] < d, len(texts[no]) - LENGTH + 1) for no, d in mine]) for mine in sent]
-        return pa.Table.from_pydict({"batch": table["batch"], "bucket": table["bucket"], "n": pa.array([*map(len, masks)], pa.int64()), "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
-
-    back = frags.groupBy("bucket").applyInArrow(meet, "batch long, bucket int, n long, mask binary")
+    back = frags.groupBy("bucket").applyInArrow(meet_in_bucket, "batch long, bucket int, n long, mask binary")
     return back.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "mask"))).alias("masks"))
 
 
