@@ -93,6 +93,15 @@ def test_copies_match_as_in_sql(spark, copied, name, monkeypatch):
     assert_same(df, SQL[name], copied)
 
 
+@pytest.mark.parametrize("name", ["multi_scale"])
+def test_copies_give_each_pair_a_row_as_in_sql(spark, copied, name, monkeypatch):
+    monkeypatch.setattr(blocks, "MERGE", 2)
+    df = QUERIES[name](spark, copied)
+    assert "video_ids" in df._jdf.queryExecution().toString()  # copies are scored once
+    assert df.count() == 16 * 15
+    assert_same(df, SQL[name], copied)
+
+
 def test_tiles_of_a_block(spark, monkeypatch):
     """29 videos and 40 tracks in one block of tiles of 8: every pair once."""
     monkeypatch.setattr(blocks, "BLOCKS", 1)
