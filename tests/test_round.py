@@ -93,7 +93,7 @@ def test_copies_match_as_in_sql(spark, copied, name, monkeypatch):
     assert_same(df, SQL[name], copied)
 
 
-@pytest.mark.parametrize("name", ["multi_scale", "directional"])
+@pytest.mark.parametrize("name", ["multi_scale", "directional", "duration_pairs"])
 def test_copies_give_each_pair_a_row_as_in_sql(spark, copied, name, monkeypatch):
     monkeypatch.setattr(blocks, "MERGE", 2)
     df = QUERIES[name](spark, copied)
