@@ -98,6 +98,7 @@ def test_copies_give_each_pair_a_row_as_in_sql(spark, copied, name, monkeypatch)
     monkeypatch.setattr(blocks, "MERGE", 2)
     df = QUERIES[name](spark, copied)
     assert "video_ids" in df._jdf.queryExecution().toString()  # copies are scored once
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()  # small inputs don't make few tasks
     assert df.count() == 16 * 15
     assert_same(df, SQL[name], copied)
 
