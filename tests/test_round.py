@@ -11,7 +11,7 @@ from compare import assert_same
 from waygrid import catalog
 from waygrid.config import ENSEMBLE_BASIC
 from waygrid.functions import arrays, scalar
-from waygrid.operators import blocks, joins
+from waygrid.operators import blocks, joins, sequence
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -161,3 +161,54 @@ def test_objects_that_go_straight_up(spark, tmp_path):
     d = events(spark, tmp_path, [(1, 0, "view", 29.26, 45), (1, 1, "view", 39.76, 24), (2, 0, "view", 34.68, 31), (2, 1, "view", 46.18, 8)])
     assert_same(QUERIES["object_motion"](spark, d), SQL["object_motion"], d)
     assert {r.px_bearing for r in QUERIES["object_motion"](spark, d).collect()} == {0.0}
+
+
+def _series_of_many_lengths(rng, n):
+    """Noise, ramps and steps of 0 to 40 values; each third is a stretched other."""
+    out = [rng.normal(size=k) * 10.0 ** rng.integers(-3, 4) for k in rng.integers(0, 40, n)]
+    out[4:9] = [np.arange(30.0), np.zeros(12), np.repeat([1.0, 5.0, 2.0], 9), np.array([3.0]), np.array([])]
+    return [np.repeat(out[k - 1], 2)[:40] if k % 3 == 0 and k else x for k, x in enumerate(out)]
+
+
+def test_warped_as_pair_by_pair(monkeypatch):
+    """The distances of every pair at once, most shape distances not followed to their end."""
+    rng, followed, warped = np.random.default_rng(6), [], blocks.warped
+    xs, ys = ([arrays.robust(x) for x in _series_of_many_lengths(rng, n)] for n in (33, 41))
+    rows, cols = np.nonzero(np.ones((33, 41)))
+
+    def counted(x, *rest, **more):
+        followed.append(x.shape[-1] if x.ndim == 3 else 0)
+        return warped(x, *rest, **more)
+
+    monkeypatch.setattr(blocks, "warped", counted)
+    found = sequence.warped_apart(xs, ys, rows, cols)
+    for r, c, d in zip(rows, cols, found):
+        if len(xs[r]) and len(ys[c]):
+            assert d == pytest.approx(min(arrays.dtw(xs[r], ys[c]), arrays.shape_dtw(xs[r], ys[c])), rel=1e-12, abs=1e-12)
+    assert 0 < sum(followed) < len(rows) / 2
+
+
+def test_nearest_points_are_no_farther(monkeypatch):
+    rng = np.random.default_rng(7)
+    xs, ys = ([arrays.shapes(x) for x in _series_of_many_lengths(rng, n)] for n in (21, 25))
+    of_x, of_y = sequence.nearest(xs, ys)
+    for r, p in enumerate(xs):
+        for c, q in enumerate(ys):
+            apart = np.sqrt(((p[:, None] - q[None, :]) ** 2).sum(2))
+            assert not of_x[len(p) :, r, c].any() and not of_y[len(q) :, r, c].any()
+            if apart.size:
+                assert (of_x[: len(p), r, c] <= apart.min(1)).all() and (of_y[: len(q), r, c] <= apart.min(0)).all()
+
+
+def test_ways_as_pair_by_pair():
+    """Offsets along the cheapest ways by the steps kept, one byte a cell."""
+    rng = np.random.default_rng(8)
+    xs, ys = ([x for x in _series_of_many_lengths(rng, n) if len(x)] for n in (23, 29))
+    xs[0], ys[0] = rng.integers(0, 3, 30).astype(float), rng.integers(0, 3, 34).astype(float)  # many ties
+    rows, cols = np.nonzero(np.ones((len(xs), len(ys))))
+    na, nb = np.array([*map(len, xs)])[rows], np.array([*map(len, ys)])[cols]
+    cost, ways = blocks.warped(sequence._padded(xs)[:, rows], sequence._padded(ys)[:, cols], na, nb, keep=True)
+    assert ways.dtype == np.uint8
+    middle, length = blocks.warped_ways(ways, na, nb)
+    for r, c, m, d in zip(rows, cols, middle, 1 / (1 + cost / length)):
+        assert (m, d) == pytest.approx(arrays.dtw_offset(xs[r], ys[c]), rel=1e-12)
