@@ -85,6 +85,14 @@ def test_merged_series(spark):
     assert found == [("0", ["0", "2"], "0"), ("1", ["1", "3"], "1"), ("4", ["4", "6"], "0"), ("5", ["5", "7"], "1"), ("8", ["8"], "0")]
 
 
+def test_parted_ids(spark):
+    """A part for each remainder: what hangs on it is no work for each pair of ids."""
+    df = spark.createDataFrame([(["1", "2", "11", "31"], ["5", "15", "7"], 0.5)], "video_ids array<string>, track_ids array<string>, z double")
+    last = lambda x: F.pmod(x.cast("int"), F.lit(10))
+    found = sorted((r.video_ids_at, r.video_ids, r.track_ids_at, r.track_ids, r.z) for r in blocks.parted(df, video_ids=last, track_ids=last).collect())
+    assert found == [(v, a, t, b, 0.5) for v, a in ((1, ["1", "11", "31"]), (2, ["2"])) for t, b in ((5, ["5", "15"]), (7, ["7"]))]
+
+
 @pytest.mark.parametrize("name", ["ensemble_match", "cnn_match"])
 def test_copies_match_as_in_sql(spark, copied, name, monkeypatch):
     monkeypatch.setattr(blocks, "MERGE", 2)
