@@ -121,6 +121,17 @@ def test_tiles_of_a_block(spark, monkeypatch):
     assert found == {(str(i), str(j)): float(i * j) for i in range(29) for j in range(40) if i != j}
 
 
+def test_copies_are_dealt_over_tasks(spark, monkeypatch):
+    """40 equal videos and tracks, two to a row: a block would hold them all, but has a few of their ids."""
+    monkeypatch.setattr(blocks, "IDS", 8)
+    v = spark.createDataFrame([(str(i), 10.0, 1.0) for i in range(40)], "video_id string, video_s double, x double")
+    t = spark.createDataFrame([(str(i), 10.0, 2.0) for i in range(40)], "track_id string, track_s double, y double")
+    product = lambda a, b, fits: blocks.picked(fits, a["x"].to_numpy()[:, None] * b["y"].to_numpy()[None, :])
+    pairs = blocks.scored(v, t, "z double", product, merge=2)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 5
+    assert sorted((r.video_id, r.track_id, r.z) for r in blocks.expanded(pairs).collect()) == sorted((str(i), str(j), 2.0) for i in range(40) for j in range(40) if i != j)
+
+
 def _scan_one_by_one(offsets, vt, v, gt, g, grid, overlap, points, damp):
     best, best_r = None, 0.0
     for offset in offsets:
